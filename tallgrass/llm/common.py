@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run without ASCII white space (space, \t, \n, \v, \f, \r).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -51,9 +52,10 @@ def held_out(modulus: int, remainder: int = 2) -> Column:
     return F.crc32(text) % modulus == remainder
 
 
-def map_rows(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def map_rows(df: DataFrame, schema: StructType | str, per_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a batch to the output columns in schema order."""
-    names = [part.split()[0] for part in schema.split(",")]
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -139,48 +139,47 @@ def classes(keyed: DataFrame, shards: int | None = None) -> DataFrame:
     return partial.repartition(shards or common.partitions(spark), "digest").mapInArrow(_fold, CLASS_SCHEMA)
 
 
-def exact_dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """docs as column __row (a struct of all its columns) with digest, keep_id, group_size and kept.
+def with_classes(keyed: DataFrame, shards: int | None = None) -> DataFrame:
+    """keyed (digest binary, doc_id long, ...) with keep_id, group_size and top_rows.
 
-    A null text equals the empty text. A null doc_id is smaller than any other. Of rows that share
-    text and largest doc_id, one stays. Columns of docs may have any names. An empty table gives
-    no rows.
+    No operator above this join needs a digest's rows together, so a skewed digest can be split.
     """
-    digest = F.unhex(F.sha2(common.text_or_empty(), 256))
-    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
-    found = classes(keyed.select("digest", "doc_id"), shards)
-    joined = keyed.join(found, "digest", "left")
-    among = Window.partitionBy("digest", "doc_id").orderBy(F.xxhash64(F.to_json("__row")))
-    first = F.when(F.col("top_rows") == 1, True).otherwise(F.row_number().over(among) == 1)
-    return joined.select(
-        "__row", "digest", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept")
+    return keyed.join(classes(keyed.select("digest", "doc_id"), shards), "digest", "left")
+
+
+def first_of_repeats(joined: DataFrame) -> DataFrame:
+    """joined with kept: the row that has keep_id, and of several such rows one."""
+    apart = joined.repartition("digest", "doc_id")
+    order = Window.partitionBy("digest", "doc_id").orderBy("top_rows")
+    mine = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return apart.withColumn("kept", mine & (F.row_number().over(order) == 1))
+
+
+def exact_dedup(hashed: DataFrame, shards: int | None = None) -> DataFrame:
+    """A row for each row of hashed (doc_id, text_sha256): its group's keep_id and size, and whether it stays.
+
+    A null text is hashed as the empty text by the caller. A null doc_id is smaller than any other.
+    Of rows that share text and largest doc_id, one stays. An empty table gives no rows.
+    """
+    keyed = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("text_sha256").alias("digest"))
+    return first_of_repeats(with_classes(keyed, shards)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with its columns."""
-    return exact_dedup(docs).where("kept").select("__row.*")
+def kept_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """The rows of docs that stay, with all its columns, whatever their names."""
+    digest = F.unhex(F.sha2(common.text_or_empty(), 256))
+    keyed = docs.select(
+        F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")
+    )
+    top = with_classes(keyed, shards).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return first_of_repeats(top).where("kept").select("__row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", "text")
     digest = F.sha2(common.text_or_empty(), 256)
-    return exact_dedup_ids(docs.select("doc_id", digest.alias("text_sha256")))
-
-
-def exact_dedup_ids(hashed: DataFrame) -> DataFrame:
-    """The digest form of exact_dedup for rows (doc_id, text_sha256), which shuffles no text."""
-    keyed = hashed.select("doc_id", F.unhex("text_sha256").alias("digest"))
-    found = classes(keyed)
-    among = Window.partitionBy("digest", "doc_id").orderBy("digest")
-    first = F.when(F.col("top_rows") == 1, True).otherwise(F.row_number().over(among) == 1)
-    return keyed.join(found, "digest", "left").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return exact_dedup(common.documents(spark, sf_dir).select("doc_id", digest.alias("text_sha256")))
 
 
 SQL = """
