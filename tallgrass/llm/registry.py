@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, sentencepiece_codec, simhash, sketch, token_counts, toxicity
+from . import exact_dedup, language_id, mixing, sentencepiece_codec, simhash, sketch, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_fingerprints": sketch.op8_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
