@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, sentencepiece_codec, simhash, sketch, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, language_id, lm_scoring, mixing, sentencepiece_codec, simhash, sketch, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
