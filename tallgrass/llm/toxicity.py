@@ -137,19 +137,27 @@ def fit(rows: list[tuple[int, float, str]], max_features: int, epochs: int) -> t
 
 
 def train(
-    labelled: DataFrame, max_train_chars: int = MAX_TRAIN_CHARS, max_features: int = MAX_FEATURES, epochs: int = EPOCHS
+    docs: DataFrame,
+    labels: DataFrame,
+    max_train_chars: int = MAX_TRAIN_CHARS,
+    max_features: int = MAX_FEATURES,
+    epochs: int = EPOCHS,
 ) -> Scorer:
-    """A scorer from rows (doc_id, text, toxic).
+    """A scorer from docs (doc_id, text) and labels (doc_id, toxic).
 
-    Of each label about max_train_chars characters are drawn, whole texts by hash, and weighted
-    back to their label's share, so one task holds a bounded sample. Rows with null text or label
-    are left out; without any row every score is 0.
+    Of each label about max_train_chars characters are drawn, whole texts by a hash of doc_id, and
+    weighted back to their label's share, so one task holds a bounded sample. Lengths alone meet
+    the labels first; then only drawn texts are shuffled. Rows with null text or label are left
+    out; without any row every score is 0.
     """
-    rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", "toxic")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    texts = docs.where("text is not null").select("doc_id", "text")
+    marks = labels.where("toxic in (0, 1)").select("doc_id", "toxic")
+    lengths = texts.select("doc_id", F.length("text").alias("n")).join(marks, "doc_id")
+    sizes = {r["toxic"]: r["n"] for r in lengths.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     shares = {k: min(1.0, max_train_chars / max(1, sizes.get(k) or 0)) for k in (0, 1)}
-    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20) < share)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    drawn = texts.where(draw < max(shares.values())).join(marks, "doc_id")
+    sample = drawn.where(draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = []
@@ -194,5 +202,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null or wordless text scores 0. A doc_id with several labels is toxic if one of them says so."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text", common.held_out(4).alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    scorer = train(docs.where("not held_out").join(labels, "doc_id"))
-    return score_documents(docs, scorer)
+    return score_documents(docs, train(docs.where("not held_out"), labels))
