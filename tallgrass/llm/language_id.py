@@ -3,7 +3,7 @@
 Each language has a character 4-gram model. The models lie side by side in sorted key arrays, one
 for each order: a row has the gram's log-probability in every language, so one binary search
 serves all of them. A text gets the language of least cross-entropy a character, and is rejected
-if that exceeds what the language's own training texts reach.
+if that exceeds what texts of the language reach that were kept out of the counts.
 
 Counting runs on a bounded sample of labelled texts (max_train_chars for each language, whole
 texts, chosen by hash), so the tables have a bounded size and are broadcast.
@@ -22,8 +22,10 @@ from . import common
 
 ORDER = 4
 MAX_TRAIN_CHARS = 2_000_000
-#: A text is rejected beyond so many times the greatest cross-entropy of its language's training texts.
+#: A text is rejected beyond so many times the greatest cross-entropy of its language's calibration texts.
 REJECT_FACTOR = 1.25
+#: Of the sample, the share that is not counted but sets the limits of rejection.
+CALIBRATION_SHARE = 0.2
 #: Shorter texts vary too much to be rejected, or to set the limit.
 REJECT_CHARS = 50
 #: Characters that count for the confidence of a long text.
@@ -102,15 +104,15 @@ class Models:
     def cross_entropies(self, text: str | None) -> tuple[np.ndarray, int]:
         """Nats a character in every language, and the number of characters; none without letters."""
         keys = grams(normalised(text)) if text else np.empty(0, np.uint64)
-        if not len(keys):
-            return np.zeros(len(self.languages)), 0
+        if not len(keys) or not self.languages:
+            return np.zeros(len(self.languages)), len(keys)
         return -self.log_probabilities(keys).sum(axis=0, dtype=np.float64) / len(keys), len(keys)
 
     def decide(self, text: str | None) -> tuple[str, float, float | None, bool]:
         """Language, confidence, nats a character, and whether the text is rejected."""
         entropies, n = self.cross_entropies(text)
-        if not n:
-            return UNDETERMINED, 0.0, None, True
+        if not n or not self.languages:
+            return UNDETERMINED, 0.0, None, not n
         best = int(entropies.argmin())
         spread = np.exp((entropies[best] - entropies) * min(n, CONFIDENT_CHARS))
         rejected = n >= REJECT_CHARS and self.limits is not None and bool(entropies[best] > self.limits[best])
@@ -172,15 +174,17 @@ def train(docs: DataFrame, max_train_chars: int = MAX_TRAIN_CHARS) -> Models:
     """Models of docs' languages (columns doc_id, text, lang), from about max_train_chars characters of each.
 
     Rows without text or lang are left out. Whole texts are taken, by a hash of doc_id and text.
+    Without any row there is no language, and every text is undetermined.
     """
     known = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect() if r["n"]}
     languages = sorted(sizes)
     if not languages:
-        raise ValueError("no labelled text to learn from")
+        return Models([])
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, max_train_chars / sizes[k])))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20) < F.element_at(share, F.col("lang"))
-    sample = known.where(drawn)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20) / F.element_at(share, F.col("lang"))
+    sample = known.where(draw < 1 - CALIBRATION_SHARE).select("lang", "text")
+    other = known.where((draw >= 1 - CALIBRATION_SHARE) & (draw < 1)).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -193,20 +197,21 @@ def train(docs: DataFrame, max_train_chars: int = MAX_TRAIN_CHARS) -> Models:
             out["n"].append(n)
         return {k: v if k == "lang" else np.concatenate(v) for k, v in out.items()}
 
-    sampled = sample.select("lang", "text")
-    counted = common.map_rows(sampled, "lang string, gram long, n long", count)
+    counted = common.map_rows(sample, "lang string, gram long, n long", count)
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(found.column("lang").to_pylist(), object)
     keys, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     languages = [x for x in languages if (langs == x).any()]
+    if not languages:
+        return Models([])
     models = build(languages, {x: (keys[langs == x], n[langs == x]) for x in languages})
-    models.limits = _limits(models, sampled)
+    models.limits = _limits(models, other)
     return models
 
 
-def _limits(models: Models, sample: DataFrame) -> np.ndarray:
-    """For each language, the cross-entropy beyond which a text is rejected, from what its training texts reach."""
-    shared = sample.sparkSession.sparkContext.broadcast(models)
+def _limits(models: Models, other: DataFrame) -> np.ndarray:
+    """For each language, the cross-entropy beyond which a text is rejected, from texts that were not counted."""
+    shared = other.sparkSession.sparkContext.broadcast(models)
 
     def entropies(batch: pa.RecordBatch) -> dict:
         place = {x: i for i, x in enumerate(shared.value.languages)}
@@ -214,7 +219,7 @@ def _limits(models: Models, sample: DataFrame) -> np.ndarray:
         rows = [(x, float(e[place[x]])) for x, (e, n) in rows if n >= REJECT_CHARS and x in place]
         return {"lang": pa.array([x for x, _ in rows], pa.string()), "h": pa.array([e for _, e in rows], pa.float64())}
 
-    spread = common.map_rows(sample, "lang string, h double", entropies).groupBy("lang")
+    spread = common.map_rows(other, "lang string, h double", entropies).groupBy("lang")
     found = {r["lang"]: r["most"] for r in spread.agg(F.max("h").alias("most")).collect()}
     return np.array([REJECT_FACTOR * found.get(x, np.inf) for x in models.languages])
 
