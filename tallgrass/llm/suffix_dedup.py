@@ -273,7 +273,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_items: int = GROUP_ITEM
     spark = docs.sparkSession
     shards = common.partitions(spark)
     texts = docs.select("uid", "text")
-    found = common.cut_lineage(items(texts, length))
+    found = common.stored(items(texts, length))
     counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again")
     shared = found.drop("again").join(counts.select("anchor"), "anchor")
     different = shared.groupBy("anchor", "print").agg(
