@@ -15,6 +15,7 @@ of segments sets), and decides by all bits.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ WIDE_WORDS, WIDE_BITS = 8, 84
 #: Words whose segments are indexed, and the bits of the first word beyond which no pair is looked at.
 KEY_WORDS, FIRST_WORD_BITS = 4, 18
 #: Buckets up to this size are compared by shifts of whole arrays, larger ones by a search.
-SMALL_BUCKET = 16
+SMALL_BUCKET = 8
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
@@ -107,17 +108,21 @@ def _near(values: np.ndarray, other: np.ndarray | int, bits: int) -> np.ndarray:
 
 
 def _forest(bucket: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a bucket. What has been reached is not compared again."""
-    links, rest, front = [], bucket[1:], [bucket[0]]
+    """A spanning forest of the links in a bucket. What has been reached is not compared again.
+
+    The search goes breadth first from the bucket's first fingerprint, so buckets that share most of
+    their members choose the same links, which become one.
+    """
+    links, rest, front = [], bucket[1:], deque(bucket[:1])
     while len(rest):
         if not front:
-            front, rest = [rest[0]], rest[1:]
+            front, rest = deque(rest[:1]), rest[1:]
             continue
-        one = front.pop()
+        one = front.popleft()
         near = _near(rest, one, bits)
         if near.any():
             links += [(one, x) for x in rest[near]]
-            front += list(rest[near])
+            front.extend(rest[near])
             rest = rest[~near]
     return links
 
