@@ -283,3 +283,44 @@ def test_verdicts_and_areas(spark):
     refs = [("t", "x", 1, True), ("t", "x", 1, False), ("t", "x", 2, True), ("t", "y", 1, True), ("t", "y", 1, False), ("t", "z", 1, False)]
     areas = telemetry.area_coverage(spark.createDataFrame(refs, "task string, area string, option long, satisfied boolean"))
     assert values(areas, "area", "full", "partial") == [("x", True, False), ("y", False, True), ("z", False, False)]
+
+
+def test_status_and_diff_sources(spark):
+    from tallgrass.sources import diffs
+
+    raw = " M a.py\0R  new.py\0old.py\0?? b.py\0R  n2.py\0RX odd.py\0 D c.py\0"
+    found = values(diffs.status_entries(spark.createDataFrame([(1, raw)], "key long, text string"), "key"), "path", "status")
+    assert found == [("a.py", "modified"), ("b.py", "untracked"), ("c.py", "deleted"), ("n2.py", "renamed"), ("new.py", "renamed")]
+    patch = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -3,2 +3,3 @@ def f\n-old\n+new\n+more\n same\n@@ -20 +21 @@\n-z\n+y\ndiff --git a/q b/q\n--- a/q\n+++ b/q\n@@ -0,0 +1 @@\n+only"
+    lines = diffs.diff_lines(spark.createDataFrame([(1, patch)], "key long, text string"), "key")
+    got = [tuple(r) for r in lines.select("path", "kind", "old_line", "new_line", "line").orderBy("path", "hunk", "old_line", "new_line").collect()]
+    assert sorted(got, key=str) == sorted(
+        [("x.py", "-", 3, None, "old"), ("x.py", "+", None, 3, "new"), ("x.py", "+", None, 4, "more"), ("x.py", "-", 20, None, "z"),
+         ("x.py", "+", None, 21, "y"), ("q", "+", None, 1, "only")], key=str,
+    )
+    symbols = spark.createDataFrame([("x.py", "f", 1, 30), ("x.py", "f.g", 3, 4)], "path string, qualified_name string, start_line int, end_line int")
+    assert values(diffs.affected_symbols(lines, symbols), "new_line", "qualified_name") == [(3, "f.g"), (4, "f.g"), (21, "f")]
+
+
+def test_pack_takes_required_ranges_and_fits_the_budget(spark):
+    from tallgrass.operators import packing
+
+    body = "\n".join(f"line {i} of the file" for i in range(1, 201))
+    texts = spark.createDataFrame([("a.py", body, 200), ("b.py", body, 200), ("c.py", body, 200)], "path string, text string, line_count int")
+    symbols = spark.createDataFrame([("a.py", "f", 10, 12), ("a.py", "g", 15, 18), ("b.py", "h", 50, 180)], "path string, qualified_name string, start_line int, end_line int")
+    signal = "array<struct<kind:string,key:string>>"
+    rows = [
+        ("q", "a.py", 95.0, "PRIMARY", [("exact_symbol", "symbol:f"), ("exact_symbol", "symbol:g")]),
+        ("q", "b.py", 80.0, "PRIMARY", [("exact_symbol", "symbol:h")]),
+        ("q", "c.py", 10.0, "RELATED", [("explicit_path", "path:c.py")]),
+    ]
+    ranked = spark.createDataFrame(rows, f"query_id string, path string, score double, role string, signals {signal}")
+    packed = packing.pack(ranked, symbols, texts, budget=400).cache()
+    assert values(packed, "path", "start", "end", "taken") == [("a.py", 9, 19, True), ("b.py", 49, 181, False), ("c.py", 1, 40, True)]
+    located = packing.locator(packed)
+    assert located.first().locator == "- c.py:1-40\n- a.py:9-19"
+    assert values(packing.parsed_locator(located), "path", "start", "end") == [("a.py", 9, 19), ("c.py", 1, 40)]
+    metrics = packing.pack_metrics(packed).first()
+    assert metrics.n_ranges == 2 and metrics.selected_tokens <= 400 and metrics.tokens_avoided > 0
+    required = spark.createDataFrame([("q", "a.py", 10, 12), ("q", "b.py", 60, 61)], "query_id string, path string, start long, end long")
+    assert packing.recall(packed, required).first()[1:] == (0.5, 0.5)
