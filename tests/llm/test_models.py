@@ -5,6 +5,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallgrass.llm import common, language_id, lm_scoring, mixing, sentencepiece_codec, sketch, token_counts, toxicity
@@ -98,6 +99,19 @@ def test_lm_scores_and_base_against_counts(spark):
     assert lm_scoring.score_documents(docs.select("doc_id", "text", "held_out").limit(0)).count() == 0
 
 
+def test_lm_slices_of_a_chunk_ask_as_the_whole(monkeypatch):
+    texts = [sentences(i % 5, 30) + ". " + sentences(i, 20) + "." for i in range(30)] + [None, ""]
+    rows = pa.table({"chunk": pa.array([7] * 32, pa.int32()), "doc_id": list(range(32)), "text": texts, "held_out": [i % 3 == 0 for i in range(32)]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    blob = pa.table({"chunk": pa.array([7], pa.int32()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    whole = lm_scoring._ask(blob)
+    monkeypatch.setattr(lm_scoring, "SLICE_CHARS", 500)
+    assert len(list(lm_scoring.slices(rows.column("text")))) > 5
+    assert Counter(map(str, lm_scoring._ask(blob).to_pylist())) == Counter(map(str, whole.to_pylist()))
+
+
 def test_bit_model_is_a_distribution_over_words():
     words = [b"ab", b"abc", b"b", b"ba", b"cab"] * 3
     tables = np.zeros((lm_scoring.CONTEXTS, 1 << lm_scoring.TABLE_BITS, 2), np.uint32)
