@@ -33,8 +33,8 @@ MAX_BITS = 4
 SEED = 42
 #: For a similarity of 0.8 about 0.152 of the bits differ: 78 of 512, with a deviation of 8.
 WIDE_WORDS, WIDE_BITS = 8, 84
-#: Words whose segments are indexed, and the bits of the first word beyond which no pair is looked at.
-KEY_WORDS, FIRST_WORD_BITS = 4, 18
+#: Words whose segments are indexed, round by round, and the bits of the first word beyond which no pair is looked at.
+KEY_ROUNDS, FIRST_WORD_BITS = (range(0, 1), range(1, 4)), 18
 #: Buckets up to this size are compared by shifts of whole arrays, larger ones by a search.
 SMALL_BUCKET = 8
 
@@ -86,21 +86,22 @@ def fingerprints(docs: DataFrame, width: int, carry: str = "doc_id", words: int
     return common.map_rows(docs.select(carry, "text"), schema, per_batch)
 
 
-def signature_keys(prints: DataFrame, words: int = 1) -> DataFrame:
-    """Rows (key, fp) for all keys of the first words of column wide.
+def signature_keys(prints: DataFrame, words: range = range(1)) -> DataFrame:
+    """Rows (key, fp, and root if prints has it) for all keys of some words of column wide.
 
     A key holds the number of the segment, the masked bit (0: none), and the segment's other bits.
     """
     lists = [F.array(*[F.lit(s[i]) for s in SEGMENTS]) for i in (0, 1)]
-    segments = F.explode(F.sequence(F.lit(0), F.lit(3 * words - 1))).alias("segment")
+    segments = F.explode(F.sequence(F.lit(3 * words.start), F.lit(3 * words.stop - 1))).alias("segment")
+    own = [c for c in ("fp", "root") if c in prints.columns]
     start, length = (F.element_at(x, (F.col("segment") % 3 + 1).cast("int")) for x in lists)
     word = F.element_at("wide", (F.floor(F.col("segment") / 3) + 1).cast("int"))
     taken = F.call_function("shiftrightunsigned", word, start).bitwiseAND(F.expr("shiftleft(1L, length) - 1"))
-    cut = prints.select("fp", "wide", segments).withColumn("length", length).withColumn("bits", taken)
-    variants = cut.select("fp", "segment", "bits", F.explode(F.sequence(F.lit(0), "length")).alias("masked"))
+    cut = prints.select(*own, "wide", segments).withColumn("length", length).withColumn("bits", taken)
+    variants = cut.select(*own, "segment", "bits", F.explode(F.sequence(F.lit(0), "length")).alias("masked"))
     rest = F.when(F.col("masked") == 0, F.col("bits")).otherwise(F.expr("bits & ~shiftleft(1L, masked - 1)"))
     place = F.expr("shiftleft(cast(segment * 32 + masked as long), 24)")
-    return variants.select(place.bitwiseOR(rest).alias("key"), "fp")
+    return variants.select(place.bitwiseOR(rest).alias("key"), *own)
 
 
 def _near(values: np.ndarray, other: np.ndarray | int, bits: int) -> np.ndarray:
@@ -152,30 +153,41 @@ def _bucket_links(keys: np.ndarray, fps: np.ndarray, radii: tuple[int, ...]) ->
 
 
 def _scan(radii: tuple[int, ...]):
-    """Rows (key, fp) sorted by key to links; the last bucket of a batch waits for the next batch."""
+    """Rows (key, fp, root) sorted by key to links; the last bucket of a batch waits for the next batch.
 
-    def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    Links inside a root are left out. Without the column root every fingerprint is its own.
+    """
+
+    def out(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
         a, b = _bucket_links(keys, fps, radii)
+        if len(a):
+            order = np.argsort(fps, kind="stable")
+            root_a, root_b = (roots[order[np.searchsorted(fps, x, sorter=order)]] for x in (a, b))
+            a, b = a[root_a != root_b], b[root_a != root_b]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
         columns = [pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)]
         return pa.RecordBatch.from_arrays(columns, ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)]
         for batch in batches:
-            keys = np.r_[held_keys, batch.column(0).to_numpy()]
-            fps = np.r_[held, batch.column(1).to_numpy().view(np.uint64)]
+            new = [c.to_numpy() for c in batch.columns]
+            new = [new[0], new[1].view(np.uint64), new[-1].view(np.uint64)]
+            keys, fps, roots = (np.r_[x, y] for x, y in zip(held, new, strict=True))
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if cut:
-                yield out(keys[:cut], fps[:cut])
-            held_keys, held = keys[cut:], fps[cut:]
-        yield out(held_keys, held)
+                yield out(keys[:cut], fps[:cut], roots[:cut])
+            held = [keys[cut:], fps[cut:], roots[cut:]]
+        yield out(*held)
 
     return run
 
 
-def links(distinct: DataFrame, words: int = 1, radii: tuple[int, ...] = (MAX_BITS,)) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (fp, wide) that keep every connection within the last radius of fp."""
+def links(distinct: DataFrame, words: range = range(1), radii: tuple[int, ...] = (MAX_BITS,)) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (fp, wide) that keep every connection within the last radius of fp.
+
+    With a column root, fingerprints of one root count as connected.
+    """
     dealt = signature_keys(distinct, words).repartition(common.partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_scan(radii), "u long, v long").distinct()
 
@@ -202,12 +214,24 @@ def components(printed: DataFrame) -> DataFrame:
 
 
 def near_components(printed: DataFrame) -> DataFrame:
-    """As components, for fingerprints of WIDE_WORDS words: linked where their bits tell a similarity of 0.8 or more."""
+    """As components, for fingerprints of WIDE_WORDS words: linked where their bits tell a similarity of 0.8 or more.
+
+    Keys come in rounds. What a round has connected is one to the next, which only looks for links
+    between the components so far, so a large group of near copies is not linked anew under every key.
+    """
     nodes = _nodes(printed)
-    found = links(nodes, KEY_WORDS, (8, FIRST_WORD_BITS))
     sides = [nodes.select(F.col("fp").alias(x), F.col("wide").alias(f"wide_{x}")) for x in ("u", "v")]
     apart = F.aggregate(F.zip_with("wide_u", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return _rooted(nodes, found.join(sides[0], "u").join(sides[1], "v").where(apart <= WIDE_BITS).select("u", "v"))
+    rooted, edges = nodes, None
+    for words in KEY_ROUNDS:
+        found = links(rooted, words, (8, FIRST_WORD_BITS)).join(sides[0], "u").join(sides[1], "v")
+        near = found.where(apart <= WIDE_BITS).select("u", "v")
+        edges = near if edges is None else edges.union(near)
+        if words != KEY_ROUNDS[-1]:
+            roots = star_components(edges)
+            edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "wide", F.coalesce("root", "fp").alias("root"))
+    return _rooted(nodes, edges)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
