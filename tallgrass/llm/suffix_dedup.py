@@ -116,15 +116,29 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return (at + 1 < n) & (text[np.minimum(at + 1, n - 1)] > text)
 
 
+def _sorted_directly(data: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
+    """starts in the order of the depth bytes from each: by 16 bytes as numbers, then ties by all of them."""
+    words = _words_at(data + bytes(24))
+    high, low = words[starts].byteswap(), words[starts + 8].byteswap()
+    order = np.lexsort((low, high))
+    starts, high, low = starts[order], high[order], low[order]
+    tied = np.r_[False, (high[1:] == high[:-1]) & (low[1:] == low[:-1])]
+    tied |= np.r_[tied[1:], False]
+    # Sorted by their 16 bytes, the ties are nearly in order, and each keeps to its group's places.
+    places = np.flatnonzero(tied)
+    among = starts[places]
+    keys = [data[i : i + depth] for i in among.tolist()]
+    starts[places] = among[sorted(range(len(keys)), key=keys.__getitem__)]
+    return starts
+
+
 def suffix_array(data: bytes, depth: int = LENGTH) -> np.ndarray:
     """The suffixes of data, sorted by at least their first depth bytes."""
     text = np.frombuffer(data, np.uint8)
     small = smaller_than_next(text)
     # Stage one: the suffixes that are smaller than their successors, directly.
     direct = np.flatnonzero(small)
-    keys = [data[i : i + depth] for i in direct.tolist()]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    direct = _sorted_directly(data, direct, depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     # Stage two: scan the buckets of first bytes upwards. A suffix that is larger than its successor
     # comes into the bucket of its first byte in the order in which successors are met.
@@ -272,8 +286,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_items: int = GROUP_ITEM
     """
     spark = docs.sparkSession
     shards = common.partitions(spark)
-    texts = docs.select("uid", "text")
-    found = common.stored(items(texts, length))
+    found = common.stored(items(docs, length))
     counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again")
     shared = found.drop("again").join(counts.select("anchor"), "anchor")
     different = shared.groupBy("anchor", "print").agg(
@@ -287,7 +300,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_items: int = GROUP_ITEM
 
     def slices(batch: pa.RecordBatch) -> dict:
         rows = []
-        for text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for text, wants in zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True):
             data = text.encode()
             rows += [(w["anchor"], w["print"], w["copies"], data[w["first"] : w["last"] + length], w["crowded"]) for w in wants]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
@@ -295,8 +308,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_items: int = GROUP_ITEM
         names = ("anchor", "print", "copies", "span", "crowded")
         return {k: pa.array(list(c), kind) for k, c, kind in zip(names, columns, kinds, strict=True)}
 
+    # All columns go along, so that both joins with the texts read one shuffle of them.
     spans = common.map_rows(
-        texts.join(by_text, "uid").select("text", "items"),
+        docs.join(by_text, "uid"),
         "anchor long, print long, copies long, span binary, crowded boolean",
         slices,
     )
@@ -312,7 +326,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_items: int = GROUP_ITEM
 
 def with_uid(docs: DataFrame) -> DataFrame:
     """docs with uid, a digest of doc_id and text: rows of one uid are repeats of one row."""
-    return docs.withColumn("uid", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), common.text_or_empty()))))
+    digest = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), common.text_or_empty())))
+    return docs.withColumn("uid", F.coalesce(digest, F.lit(b"")))
 
 
 def kept(data: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
