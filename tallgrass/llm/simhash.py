@@ -8,20 +8,21 @@ start, so copies never pair up. In a large bucket, neighbours are found by a sea
 every fingerprint it has reached, which emits a spanning forest in place of all pairs.
 
 Four of 64 bits is a narrow radius: texts that share 0.8 of their shingles differ in about 10 bits
-of 64. near_duplicates therefore takes wider fingerprints, whose segments are as long but more, so
-that such texts too differ by one bit at most in some segment (with a probability that the number
-of segments sets), and decides by all bits.
+of 64. near_duplicates therefore takes fingerprints of 512 bits. They are indexed by bands, samples
+of all their bits that grow longer and more with the corpus; whatever shares a band is compared on
+all bits, and what may be near is decided by the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -31,10 +32,13 @@ from .components import star_components
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 SEED = 42
-#: For a similarity of 0.8 about 0.152 of the bits differ: 78 of 512, with a deviation of 8.
-WIDE_WORDS, WIDE_BITS = 8, 84
-#: Words whose segments are indexed, round by round, and the bits of the first word beyond which no pair is looked at.
-KEY_ROUNDS, FIRST_WORD_BITS = (range(0, 1), range(1, 4)), 18
+#: The similarity (shared shingles of all) from which texts are near duplicates.
+SIMILAR = 0.8
+#: At a similarity of 0.8 about 0.152 of the bits differ: 78 of 512, with a deviation of 8. Pairs up to
+#: WIDE_BITS are decided by their shingles; up to SURE_BITS a forest of a band's pairs is tried first.
+WIDE_WORDS, WIDE_BITS, SURE_BITS = 8, 112, 56
+#: A pair that differs in BAND_BITS shares a band but for BAND_MISS; about BAND_SIZE fingerprints share one by chance.
+BAND_BITS, BAND_MISS, BAND_SIZE = 92, 0.01, 2048
 #: Buckets up to this size are compared by shifts of whole arrays, larger ones by a search.
 SMALL_BUCKET = 8
 
@@ -72,6 +76,8 @@ def fingerprints(docs: DataFrame, width: int, carry: str = "doc_id", words: int
         found = []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(common.words_of(text), width)
+            if words > 1:  # a similarity is one of sets
+                hashes = np.unique(hashes)
             row = [majority(hashes)]
             for _ in range(words - 1):
                 hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -213,25 +219,158 @@ def components(printed: DataFrame) -> DataFrame:
     return _rooted(nodes, links(nodes))
 
 
-def near_components(printed: DataFrame) -> DataFrame:
-    """As components, for fingerprints of WIDE_WORDS words: linked where their bits tell a similarity of 0.8 or more.
+def bands(n: int) -> np.ndarray:
+    """The places of the bits in each band, a row a band, for n fingerprints."""
+    length = min(24, max(8, math.ceil(math.log2(n + 1) - math.log2(BAND_SIZE))))
+    count = math.ceil(math.log(BAND_MISS) / math.log1p(-((1 - BAND_BITS / (64 * WIDE_WORDS)) ** length)))
+    pick = np.random.default_rng(SEED)
+    return np.stack([pick.choice(64 * WIDE_WORDS, length, replace=False) for _ in range(count)])
 
-    Keys come in rounds. What a round has connected is one to the next, which only looks for links
-    between the components so far, so a large group of near copies is not linked anew under every key.
+
+def _banded(nodes: DataFrame, places: np.ndarray) -> DataFrame:
+    """Rows (key, node, root, wide binary) for nodes (node, root, wide), one a band, sorted by key."""
+    weights = (1 << np.arange(places.shape[1])).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                wide = part.column(2).flatten().to_numpy().reshape(-1, WIDE_WORDS)
+                bits = np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1)
+                keys = np.concatenate([bits[:, p] @ weights + (i << 32) for i, p in enumerate(places)])
+                at = np.tile(np.arange(len(wide)), len(places))
+                blobs = pa.array([w.tobytes() for w in wide], pa.binary())
+                taken = [c.take(pa.array(at)) for c in (part.column(0), part.column(1), blobs)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *taken], ["key", "node", "root", "wide"])
+
+    dealt = nodes.select("node", "root", "wide").mapInArrow(run, "key long, node long, root long, wide binary")
+    return dealt.repartition(common.partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _first_word(bits: int) -> int:
+    """Bits of the first word beyond which all words differ in more than bits, but for a pair in a million."""
+    return math.ceil(bits / WIDE_WORDS + 5 * math.sqrt(bits / WIDE_WORDS * (1 - bits / (64 * WIDE_WORDS))))
+
+
+def _wide_forest(wide: np.ndarray, roots: np.ndarray, bits: int) -> np.ndarray:
+    """Pairs of places: a spanning forest of the links within bits. What has been reached is not compared again."""
+    links, rest, front = [np.empty((0, 2), np.int64)], np.arange(1, len(wide)), deque([0])
+    first = np.ascontiguousarray(wide[:, 0])
+    left = first[1:]
+    while len(rest):
+        if not front:
+            front, rest, left = deque(rest[:1]), rest[1:], left[1:]
+            continue
+        one = front.popleft()
+        maybe = np.flatnonzero(_near(left, first[one], _first_word(bits)))
+        maybe = maybe[_distances(wide[rest[maybe]], wide[one]) <= bits]
+        if len(maybe):
+            links.append(np.stack([np.full(len(maybe), one), rest[maybe]], axis=1))
+            front.extend(rest[maybe])
+            rest, left = np.delete(rest, maybe), np.delete(left, maybe)
+    return np.concatenate(links)
+
+
+def _wide_pairs(wide: np.ndarray, roots: np.ndarray, bits: int) -> np.ndarray:
+    """All pairs of places within bits whose roots differ."""
+    found, first = [np.empty((0, 2), np.int64)], np.ascontiguousarray(wide[:, 0])
+    step = max(1, (1 << 20) // len(wide))
+    for start in range(0, len(wide) - 1, step):
+        a, b = np.nonzero(_near(first[start : start + step, None], first[None, start + 1 :], _first_word(bits)))
+        a, b = a + start, b + start + 1
+        apart = (a < b) & (roots[a] != roots[b])
+        a, b = a[apart], b[apart]
+        near = _distances(wide[a], wide[b]) <= bits
+        found.append(np.stack([a[near], b[near]], axis=1))
+    return np.concatenate(found)
+
+
+def _met(search, bits: int):
+    """Rows (key, node, root, wide) sorted by key to the links (u, v) that search finds among those of one key."""
+
+    def out(nodes: np.ndarray, roots: np.ndarray, blobs: list) -> pa.RecordBatch:
+        wide = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, WIDE_WORDS)
+        pairs = np.sort(nodes[search(wide, roots, bits)], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for start, end in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
+                if held and keys[start] != held_key:
+                    yield flush(held)
+                    held = []
+                held_key = keys[start]
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield flush(held)
+
+    def flush(held: list) -> pa.RecordBatch:
+        nodes, roots = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (1, 2))
+        return out(nodes, roots, [x for h in held for x in h.column(3).to_pylist()])
+
+    return run
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (u, v) whose texts (node, text) have a similarity of SIMILAR or more."""
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
+    right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        known: dict[int, np.ndarray] = {}
+        keep = []
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for u, v, text_u, text_v in rows:
+            for node, text in ((u, text_u), (v, text_v)):
+                if node not in known:
+                    known[node] = np.unique(shingle_hashes(common.words_of(text), width))
+            a, b = known[u], known[v]
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(shared >= SIMILAR * (len(a) + len(b) - shared))
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        return {"u": kept.column(0), "v": kept.column(1)}
+
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    return common.map_rows(both, "u long, v long", per_batch)
+
+
+def near_components(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (node, root, component_id) for docs (doc_id, text), joined where SIMILAR of their shingles or more are shared.
+
+    A node is a fingerprint of WIDE_WORDS words. First a forest of the closest pairs of each band
+    joins large groups of near copies; then all pairs that are still apart are tried. Both are decided by
+    their shingles, so what is left out of the forest, or fails there, is tried with every other.
     """
-    nodes = _nodes(printed)
-    sides = [nodes.select(F.col("fp").alias(x), F.col("wide").alias(f"wide_{x}")) for x in ("u", "v")]
-    apart = F.aggregate(F.zip_with("wide_u", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    rooted, edges = nodes, None
-    for words in KEY_ROUNDS:
-        found = links(rooted, words, (8, FIRST_WORD_BITS)).join(sides[0], "u").join(sides[1], "v")
-        near = found.where(apart <= WIDE_BITS).select("u", "v")
-        edges = near if edges is None else edges.union(near)
-        if words != KEY_ROUNDS[-1]:
-            roots = star_components(edges)
-            edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-            rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "wide", F.coalesce("root", "fp").alias("root"))
-    return _rooted(nodes, edges)
+    texts = fingerprints(docs.select("doc_id", F.struct("doc_id", "text").alias("__row"), "text"), width, "__row", WIDE_WORDS)
+    texts = texts.select(node_of("wide").alias("node"), "wide", "__row.*")
+    least = texts.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("wide").alias("wide"), F.min("text").alias("text"))
+    kept = common.stored(least)
+    nodes, texts = kept.select("node", "first_id", "wide"), kept.select("node", "text")
+    places = bands(nodes.count())
+    rooted = nodes.withColumn("root", F.col("node"))
+    edges = None
+    for search, bits in ((_wide_forest, SURE_BITS), (_wide_pairs, WIDE_BITS)):
+        met = _banded(rooted, places).mapInArrow(_met(search, bits), "u long, v long").distinct()
+        near = similar(met, texts, width)
+        roots = star_components(near if edges is None else edges.union(near))
+        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        joined = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+        rooted = joined.select("node", "first_id", "wide", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(least, "root").select("node", "root", "component_id")
+
+
+def node_of(wide: str) -> Column:
+    return F.xxhash64(*[F.element_at(wide, i + 1) for i in range(WIDE_WORDS)])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -241,9 +380,10 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     empty text has fingerprint zero, which links like any other. Repeated rows share their
     fingerprint. An empty table gives no rows.
     """
-    found = near_components(fingerprints(docs, width, words=WIDE_WORDS))
+    found = near_components(docs, width)
     rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("text"))
-    return fingerprints(rows, width, "__row").drop("wide").join(found, "fp")
+    printed = fingerprints(rows, width, "__row", WIDE_WORDS).withColumn("node", node_of("wide"))
+    return printed.join(found, "node").select("__row", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,50 @@ def test_near_duplicates_find_similar_texts_and_leave_others_alone(spark):
     assert simhash.representatives(docs.limit(0)).count() == 0
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def changed(words, count, pick):
+    words = list(words)
+    for place in pick.sample(range(len(words)), count):
+        words[place] = f"new{pick.random()}"
+    return words
+
+
+def test_near_duplicates_in_crowded_buckets_against_brute_force(spark):
+    pick, rows = random.Random(4), []
+    base = [f"w{pick.random()}" for _ in range(300)]
+    for i in range(60):
+        # Two of them share about 0.75; every third has a near copy.
+        rows.append((2 * i, changed(base, 4, pick)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, changed(rows[-1][1], 3, pick)))
+    rows = [(i, " ".join(words)) for i, words in rows]
+    sets = {i: shingles(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a <= b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = simhash.near_duplicates(documents(spark, rows)).select("__row.doc_id", "component_id").collect()
+    assert dict(map(tuple, found)) == components(near)
+
+
+def test_pairs_at_the_threshold_are_joined_and_pairs_below_it_are_not(spark):
+    pick, rows, near, far = random.Random(5), [], set(), set()
+    for i in range(400):
+        base = [f"w{pick.random()}" for _ in range(pick.randint(40, 300))]
+        other = list(base)
+        # One word is changed at a time; half of the pairs are the last above 0.8, half the first below.
+        while len(shingles(" ".join(base)) & shingles(" ".join(other))) * 9 > 8 * (len(base) - 4):
+            before, other = other, changed(other, 1, pick)
+        a, b = (shingles(" ".join(x)) for x in (base, before if i % 2 else other))
+        (near if len(a & b) >= 0.8 * len(a | b) else far).add(2 * i)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(before if i % 2 else other))]
+    found = simhash.near_duplicates(documents(spark, rows)).select("__row.doc_id", "component_id").collect()
+    joined = {c for d, c in found if d != c}
+    assert len(near) > 150 and len(far) > 150
+    assert not joined & far and len(joined & near) >= 0.97 * len(near), (len(joined & near), len(near), len(joined & far), len(far))
+
+
 @pytest.mark.parametrize("alphabet,size", [(1, 60), (2, 300), (4, 500), (26, 900)])
 def test_suffix_array_and_prefixes_against_sorting(alphabet, size):
     pick = random.Random(size)
