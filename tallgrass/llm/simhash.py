@@ -16,6 +16,7 @@ all bits, and what may be near is decided by the shingles themselves.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ SEED = 42
 SIMILAR = 0.8
 #: At a similarity of 0.8 about 0.152 of the bits differ: 78 of 512, with a deviation of 8. Pairs up to
 #: WIDE_BITS are decided by their shingles; up to SURE_BITS a forest of a band's pairs is tried first.
-WIDE_WORDS, WIDE_BITS, SURE_BITS = 8, 112, 56
+WIDE_WORDS, WIDE_BITS, SURE_BITS = 8, 112, 44
 #: A pair that differs in BAND_BITS shares a band but for BAND_MISS; about BAND_SIZE fingerprints share one by chance.
 BAND_BITS, BAND_MISS, BAND_SIZE = 92, 0.01, 2048
 #: Buckets up to this size are compared by shifts of whole arrays, larger ones by a search.
@@ -320,53 +321,68 @@ def _met(search, bits: int):
     return run
 
 
+def zipped(texts: DataFrame) -> DataFrame:
+    """Rows (node, first_id, wide, text) of texts (node, wide, doc_id, text), one a node, the text compressed."""
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        blobs = pa.array([zlib.compress((t or "").encode(), 1) for t in batch.column(3).to_pylist()], pa.binary())
+        return dict(zip(("node", "wide", "doc_id", "text"), (*batch.columns[:3], blobs), strict=True))
+
+    found = common.map_rows(texts.select("node", "wide", "doc_id", "text"), "node long, wide array<long>, doc_id long, text binary", per_batch)
+    return found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("wide").alias("wide"), F.min("text").alias("text"))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (u, v) whose texts (node, text) have a similarity of SIMILAR or more."""
+    """Rows (u, v, sure, near) for pairs (u, v, sure): whether their compressed texts (node, text) have a similarity of SIMILAR or more."""
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         known: dict[int, np.ndarray] = {}
         keep = []
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        for u, v, text_u, text_v in rows:
+        for u, v, _, text_u, text_v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for node, text in ((u, text_u), (v, text_v)):
                 if node not in known:
-                    known[node] = np.unique(shingle_hashes(common.words_of(text), width))
+                    known[node] = np.unique(shingle_hashes(zlib.decompress(text).lower().split(), width))
             a, b = known[u], known[v]
             shared = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(shared >= SIMILAR * (len(a) + len(b) - shared))
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        return {"u": kept.column(0), "v": kept.column(1)}
+        return {"u": batch.column(0), "v": batch.column(1), "sure": batch.column(2), "near": pa.array(keep, pa.bool_())}
 
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    return common.map_rows(both, "u long, v long", per_batch)
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "sure", "text_u", "text_v")
+    return common.map_rows(both, "u long, v long, sure boolean, near boolean", per_batch)
 
 
 def near_components(docs: DataFrame, width: int) -> DataFrame:
     """Rows (node, root, component_id) for docs (doc_id, text), joined where SIMILAR of their shingles or more are shared.
 
-    A node is a fingerprint of WIDE_WORDS words. First a forest of the closest pairs of each band
-    joins large groups of near copies; then all pairs that are still apart are tried. Both are decided by
-    their shingles, so what is left out of the forest, or fails there, is tried with every other.
+    A node is a fingerprint of WIDE_WORDS words. A forest of the closest pairs of each band holds large
+    groups of near copies together, so that only pairs across its trees are tried besides. All of them
+    are decided by their shingles; if a link of the forest fails, the pairs across what is left are tried too.
     """
-    texts = fingerprints(docs.select("doc_id", F.struct("doc_id", "text").alias("__row"), "text"), width, "__row", WIDE_WORDS)
-    texts = texts.select(node_of("wide").alias("node"), "wide", "__row.*")
-    least = texts.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("wide").alias("wide"), F.min("text").alias("text"))
-    kept = common.stored(least)
+    texts = fingerprints(docs.select(F.struct("doc_id", "text").alias("__row"), "text"), width, "__row", WIDE_WORDS)
+    kept = common.stored(zipped(texts.select(node_of("wide").alias("node"), "wide", "__row.*")))
     nodes, texts = kept.select("node", "first_id", "wide"), kept.select("node", "text")
     places = bands(nodes.count())
-    rooted = nodes.withColumn("root", F.col("node"))
-    edges = None
-    for search, bits in ((_wide_forest, SURE_BITS), (_wide_pairs, WIDE_BITS)):
-        met = _banded(rooted, places).mapInArrow(_met(search, bits), "u long, v long").distinct()
-        near = similar(met, texts, width)
-        roots = star_components(near if edges is None else edges.union(near))
-        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        joined = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-        rooted = joined.select("node", "first_id", "wide", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("node", "root", "component_id")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        roots = star_components(edges).withColumnRenamed("node", "of")
+        joined = nodes.join(roots, F.col("node") == F.col("of"), "left")
+        return joined.select("node", "first_id", "wide", F.coalesce("root", "node").alias("root"))
+
+    def met(found: DataFrame, search, bits: int) -> DataFrame:
+        return _banded(found, places).mapInArrow(_met(search, bits), "u long, v long").distinct()
+
+    forest = common.cut_lineage(met(nodes.withColumn("root", F.col("node")), _wide_forest, SURE_BITS).withColumn("sure", F.lit(True)))
+    across = met(rooted(forest), _wide_pairs, WIDE_BITS).withColumn("sure", F.lit(False))
+    decided = common.cut_lineage(similar(forest.union(across), texts, width))
+    near = decided.where("near").select("u", "v")
+    if decided.where("sure and not near").limit(1).count():
+        again = met(rooted(near), _wide_pairs, WIDE_BITS).withColumn("sure", F.lit(False))
+        near = near.union(similar(again, texts, width).where("near").select("u", "v"))
+    found = rooted(near)
+    least = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return found.join(least, "root").select("node", "root", "component_id")
 
 
 def node_of(wide: str) -> Column:

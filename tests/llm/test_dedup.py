@@ -171,6 +171,7 @@ def test_pairs_at_the_threshold_are_joined_and_pairs_below_it_are_not(spark):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(before if i % 2 else other))]
     found = simhash.near_duplicates(documents(spark, rows)).select("__row.doc_id", "component_id").collect()
     joined = {c for d, c in found if d != c}
+    print("joined", len(joined & near), "of", len(near), "near,", len(joined & far), "of", len(far), "far")
     assert len(near) > 150 and len(far) > 150
     assert not joined & far and len(joined & near) >= 0.97 * len(near), (len(joined & near), len(near), len(joined & far), len(far))
 
