@@ -126,6 +126,13 @@ def test_bit_model_is_a_distribution_over_words():
     assert model.log10([b"ab"])[0] > model.log10([b"zq"])[0]
 
 
+def test_bit_counts_are_not_cut_at_16_bits(spark):
+    words = spark.range(70_000).selectExpr("cast(concat('a', id) as binary) as word")
+    tables = lm_scoring.bit_tables(words)
+    # Every word begins with a byte below 128: one slot of the first context has all of them.
+    assert tables[0].max() >= 70_000
+
+
 @pytest.fixture(scope="module")
 def codec():
     return sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load())
