@@ -23,8 +23,6 @@ from .simhash import shingle_hashes
 WIDTH = 5
 #: One in so many of all hashes is kept.
 SCALE = 4
-#: Bytes of a hash in the printed fingerprint.
-PRINTED = 5
 
 
 def sketch(text: str | None, width: int = WIDTH, scale: int = SCALE) -> np.ndarray:
@@ -49,7 +47,8 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def printed(hashes: np.ndarray) -> str:
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PRINTED].tobytes().hex()
+    """All hashes, 16 hexadecimal digits each."""
+    return hashes.astype(">u8").tobytes().hex()
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> DataFrame:

@@ -133,6 +133,12 @@ def test_bit_counts_are_not_cut_at_16_bits(spark):
     assert tables[0].max() >= 70_000
 
 
+def test_printed_fingerprints_hold_whole_hashes():
+    hashes = sketch.sketch(sentences(3, 200))
+    text = sketch.printed(hashes)
+    assert [int(text[i : i + 16], 16) for i in range(0, len(text), 16)] == hashes.tolist()
+
+
 @pytest.fixture(scope="module")
 def codec():
     return sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load())
