@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # Words that never count as terms.
 STOP_WORDS = (
-    "a an and are at be by do does for from how in is it of on or the this to was where why with "
-    "file code handled handle fix bug repository symbol component concrete concise explain explanation "
-    "implementation modify proving name used already works give not required"
-).split()
+    "a", "an", "and", "are", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of",
+    "on", "or", "the", "this", "to", "was", "where", "why", "with", "file", "code", "handled", "handle",
+    "fix", "bug", "repository", "symbol", "component", "concrete", "concise", "explain", "explanation",
+    "implementation", "modify", "proving", "name", "used", "already", "works", "give", "not", "required",
+)
 
 # Extension to language.
 LANGUAGES = {
@@ -29,6 +30,10 @@ SECRETS = (
     ("assigned secret", r"\b(?i:password|passwd|secret|api_key|apikey|access_key|token) *[=:] *(?:\"[^\"\n]+\"|'[^'\n]+'|[A-Za-z0-9_/+.-]*[A-Za-z][A-Za-z0-9_/+.-]*)"),
 )
 
+# Where camel case is cut, and what an identifier is.
+_CAMEL_CUTS = ("([a-z0-9])([A-Z])", "([A-Z])([A-Z][a-z])")
+_IDENTIFIER = r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)"
+
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -49,8 +54,10 @@ def split_lines(text: Column | str) -> Column:
 
 def words_apart(text: Column | str) -> Column:
     """Camel case cut into words."""
-    cut = F.regexp_replace(col(text), "([a-z0-9])([A-Z])", "$1 $2")
-    return F.regexp_replace(cut, "([A-Z])([A-Z][a-z])", "$1 $2")
+    out = col(text)
+    for cut in _CAMEL_CUTS:
+        out = F.regexp_replace(out, cut, "$1 $2")
+    return out
 
 
 def terms(text: Column | str) -> Column:
@@ -61,7 +68,7 @@ def terms(text: Column | str) -> Column:
 
 def identifiers(text: Column | str) -> Column:
     """Distinct dotted names that are no lower-case stop words."""
-    found = F.array_distinct(F.regexp_extract_all(col(text), F.lit(r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)"), 1))
+    found = F.array_distinct(F.regexp_extract_all(col(text), F.lit(_IDENTIFIER), 1))
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
@@ -113,19 +120,23 @@ def squashed(text: Column | str) -> Column:
 
 
 def redacted(text: Column | str) -> Column:
-    """Secrets replaced by a marker; line ends inside a private key stay, so line numbers hold."""
+    """Secrets replaced by a marker; line ends inside private keys stay, so line numbers hold."""
     out = col(text)
     for category, pattern in SECRETS:
         if category == "private key":
-            key = F.regexp_extract(out, f"({pattern})", 1)
-            lines = F.length(key) - F.length(F.replace(key, F.lit("\n"), F.lit("")))
-            blank = F.concat(F.lit(REDACTED), F.repeat(F.lit("\n"), lines.cast("int")))
-            out = F.when(key != "", F.replace(out, key, blank)).otherwise(out)
+            # Keys do not nest, so each is replaced by its text, one after the other.
+            keys = F.array_distinct(F.regexp_extract_all(out, F.lit(f"({pattern})"), 1))
+            out = F.when(out.rlike(pattern), F.reduce(keys, out, lambda rest, key: F.replace(rest, key, _blank(key)))).otherwise(out)
         else:
             out = F.regexp_replace(out, pattern, REDACTED)
     return out
 
 
+def _blank(key: Column) -> Column:
+    lines = F.length(key) - F.length(F.replace(key, F.lit("\n"), F.lit("")))
+    return F.concat(F.lit(REDACTED), F.repeat(F.lit("\n"), lines.cast("int")))
+
+
 def secret_categories(text: Column | str) -> Column:
     """Names of the kinds of secret in the text, sorted."""
     found = [F.when(col(text).rlike(p), F.lit(c)) for c, p in SECRETS]

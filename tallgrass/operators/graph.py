@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut_lineage
+
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges (source, target) from imports (source, module, name) to modules (module, path).
@@ -44,34 +44,47 @@ def importance(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return degree.join(counts, "path", "full").select("path", score.alias("score"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Rows (node, component) for undirected edges (source, target): the least node reachable.
+def _mark(edges: DataFrame) -> tuple:
+    """Count and content hash of a table of edges; equal marks mean that a round changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Rows (node, root) for every node of edges (u, v): root is the smallest node of its component.
 
-    Labels spread along edges and then to their own labels' labels, so that a path of n nodes takes
-    about log n rounds. Each round is checkpointed.
+    Alternates large-star and small-star rounds: the first hangs every larger neighbour of a node
+    on its smallest neighbour, the second does so with the smaller ones. The edges never become
+    more than the input's, no adjacency list is built, and rounds grow with the logarithm of the
+    longest path. Nodes may be of any type that has an order, structs included. Self loops and repeated
+    edges are allowed; no edges give no rows.
     """
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    pairs = edges.select("source", "target").union(edges.select("target", "source")).distinct().checkpoint()
-    labels = pairs.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.col("source")).alias("component"))
-    labels = labels.checkpoint()
+    larger, smaller = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    edges = cut_lineage(edges.where("u <> v").select(larger, smaller).distinct())
+    mark = _mark(edges)
     for _ in range(max_rounds):
-        near = pairs.join(labels, pairs.target == labels.node).groupBy("source").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels.node == near.source, "left").select(
-            "node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component")
-        )
-        jump = spread.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        moved = spread.join(jump, spread.component == jump.at, "left").select(
-            "node", "was", F.least("component", F.coalesce("further", "component")).alias("component")
-        ).checkpoint()
-        labels = moved.select("node", "component")
-        if not moved.where("was <> component").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if not mark[0]:
+            break
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        small = large.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        edges = cut_lineage(small.union(least.select("u", F.col("least").alias("v"))).distinct())
+        before, mark = mark, _mark(edges)
+        if mark == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Rows (node, component) for undirected edges (source, target): the least node reachable. A loop makes its node a component."""
+    roots = star_components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")), max_rounds)
+    found = roots.select("node", F.col("root").alias("component"))
+    loops = edges.where("source = target").select(F.col("source").alias("node")).distinct()
+    return found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def cluster_shares(labels: DataFrame) -> DataFrame:

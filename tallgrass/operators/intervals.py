@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,8 +73,9 @@ def innermost(pairs: DataFrame, keys: list[str], start: str, end: str, name: str
     return pairs.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
-def new_lines(deliveries: DataFrame, identity: list[str], order: list[str], size: Column) -> DataFrame:
-    """Rows (identity, ..., start, end) by line, each marked as first of its identity and line, or repeated."""
-    lines = deliveries.withColumn("line", F.explode(F.sequence("start", "end"))).withColumn("bytes", size)
-    seen = Window.partitionBy(*identity, "line").orderBy(*order)
-    return lines.withColumn("is_new", F.row_number().over(seen) == 1)
+def delivered(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key how many places its ranges cover, and how many times more they cover them again."""
+    merged = merge(ranges, keys).select(*keys, (F.col("end") - F.col("start") + 1).alias("unique"), F.lit(0).cast("long").alias("total"))
+    each = ranges.select(*keys, F.lit(0).cast("long").alias("unique"), (F.col("end") - F.col("start") + 1).alias("total"))
+    sums = merged.unionByName(each).groupBy(*keys).agg(F.sum("unique").alias("n_unique"), F.sum("total").alias("n_total"))
+    return sums.select(*keys, "n_unique", (F.col("n_total") - F.col("n_unique")).alias("n_repeated"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .storage import stored
 
 # Weight of each kind of match, in the order in which equal weights win.
 WEIGHTS = {
@@ -128,10 +129,15 @@ def graph_signals(direct: DataFrame, edges: DataFrame, files: DataFrame) -> Data
     return out
 
 
-def source_signals(found: DataFrame, files: DataFrame, useful: DataFrame) -> DataFrame:
-    """Of the files found, up to two further useful terms that their text has: rare ones first, then long ones."""
+def source_signals(found: DataFrame, files: DataFrame, useful: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Of the files found, up to two further useful terms that their text has: rare ones first, then long ones.
+
+    Files over max_bytes are not looked into if it is given.
+    """
     candidates = found.select("query_id", "path").distinct()
-    readable = files.where(~T.language("path").isin("Markdown", "Other") & (F.octet_length("text") <= 100_000))
+    readable = files.where(~T.language("path").isin("Markdown", "Other"))
+    if max_bytes is not None:
+        readable = readable.where(F.octet_length("text") <= max_bytes)
     words = readable.join(candidates.select("path").distinct(), "path", "left_semi").select("path", F.explode(T.terms("text")).alias("word"))
     wanted = useful.where(F.length("term") >= 6)
     exact = wanted.join(words.withColumnRenamed("word", "term"), "term").select("query_id", "path", "term", "df", F.lit(True).alias("exact"))
@@ -182,8 +188,8 @@ def passage_top_k(passages: DataFrame, texts: DataFrame, k: int = 10) -> DataFra
     """The k texts (doc_id, text) that share most with each passage (item_id, text): 12 for a rare term, 5 for another useful one."""
     words = texts.select("doc_id", F.explode(T.terms("text")).alias("term"))
     asked = passages.select("item_id", F.explode(T.terms("text")).alias("term"))
-    # Only terms that are asked for are counted and joined.
-    wanted = words.join(asked.select("term").distinct(), "term", "left_semi")
+    # Only terms that are asked for are counted and joined; they are kept, as texts are read and cut once.
+    wanted = stored(words.join(asked.select("term").distinct(), "term", "left_semi"))
     frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
     useful = useful_terms(asked, frequency, texts.count())
     weight = F.when(F.col("df") <= 2, 12).otherwise(5)

@@ -9,8 +9,18 @@ from ..functions import numbers
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation; null for a group without values."""
-    return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in named.items()])
+    """Exact percentiles with linear interpolation; null for a group without values.
+
+    Equal values are counted where they are read, so a group's task holds each distinct value once,
+    and all percentiles come from one such table.
+    """
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    found = counted.groupBy(*keys).agg(_percentiles(value, named.values(), F.col("__n")).alias("__found"))
+    return found.select(*keys, *[F.col("__found")[i].alias(n) for i, n in enumerate(named)])
+
+
+def _percentiles(value: str, shares, times):
+    return F.percentile(value, F.array(*map(F.lit, shares)), times)
 
 
 def long_format(rows: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -20,12 +30,11 @@ def long_format(rows: DataFrame, ids: list[str], features: list[str]) -> DataFra
 
 def distributions(rows: DataFrame, features: list[str]) -> DataFrame:
     """Least, quartiles and greatest of every feature."""
-    quarters = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    return long_format(rows, [], features).groupBy("feature").agg(
-        F.min("value").alias("least"),
-        *[F.percentile("value", p).alias(n) for n, p in quarters.items()],
-        F.max("value").alias("greatest"),
+    counted = long_format(rows, [], features).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    found = counted.groupBy("feature").agg(
+        F.min("value").alias("least"), _percentiles("value", (0.25, 0.5, 0.75), F.col("n")).alias("q"), F.max("value").alias("greatest")
     )
+    return found.select("feature", "least", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))], "greatest")
 
 
 def positions(rows: DataFrame, anchors: DataFrame, features: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals
+from ..operators import intervals, telemetry
 from ..sources.tables import table
 
 
@@ -135,12 +135,8 @@ WHERE n = 1
 
 def delivery_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as deliveries of supplier ranges to customers: days new to the supplier's ledger, and days known."""
-    ranges = _ranges(spark, sf).withColumn("size", F.lit(1).cast("long"))
-    lines = intervals.new_lines(ranges, ["key"], ["start", "end"], F.col("size"))
-    return lines.groupBy("key").agg(
-        F.sum(F.when(F.col("is_new"), F.col("bytes")).otherwise(0)).alias("unique_bytes"),
-        F.sum(F.when(F.col("is_new"), 0).otherwise(F.col("bytes"))).alias("repeated_bytes"),
-    )
+    found = intervals.delivered(_ranges(spark, sf), ["key"])
+    return found.select("key", F.col("n_unique").alias("unique_bytes"), F.col("n_repeated").alias("repeated_bytes"))
 
 
 DELIVERY_OVERLAP = """
@@ -150,7 +146,43 @@ WITH lines AS (
 SELECT key, count(DISTINCT line) AS unique_bytes, count(*) - count(DISTINCT line) AS repeated_bytes FROM lines GROUP BY key
 """
 
+def read_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as files of p_size lines, their suppliers as runs that read them; line items, unless returned, as what was delivered."""
+    part, items = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    files = part.select(F.col("p_partkey").alias("path"), F.col("p_size").alias("line_count"))
+    line = F.col("l_linenumber").cast("long")
+    deliveries = items.select(
+        F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("path"), line.alias("start"),
+        (line + F.col("l_quantity").cast("long") - 1).alias("end"), (F.col("l_returnflag") != "R").alias("success"),
+    )
+    return telemetry.read_coverage(deliveries.select("run_id", "path").distinct(), deliveries, files)
+
+
+READ_COVERAGE = f"""
+WITH reads AS (SELECT DISTINCT l_suppkey AS run_id, l_partkey AS path FROM lineitem),
+lines AS (SELECT DISTINCT l_suppkey AS run_id, l_partkey AS path, unnest(range(l_linenumber, l_linenumber + l_quantity::BIGINT)) AS line
+          FROM lineitem WHERE l_returnflag <> 'R'),
+counted AS (SELECT run_id, path, p_size, count(*) FILTER (line <= p_size) AS n FROM lines JOIN part ON p_partkey = path GROUP BY ALL)
+SELECT run_id, path, CASE WHEN n IS NULL THEN '{telemetry.ABSENT}' WHEN n >= p_size THEN '{telemetry.COMPLETE}' ELSE '{telemetry.PARTIAL}' END AS coverage
+FROM reads LEFT JOIN counted USING (run_id, path)
+"""
+
+
+def samples_at_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the last line item that was shipped on the order's very day."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    samples = table(spark, sf, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    return telemetry.samples_at(orders, samples, "day", ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_quantity"]).drop("day")
+
+
+SAMPLES_AT = """
+WITH last AS (SELECT l_shipdate::DATE AS day, max((l_orderkey, l_linenumber, l_quantity)) AS s FROM lineitem GROUP BY 1)
+SELECT o_orderkey, s[1] AS l_orderkey, s[2] AS l_linenumber, s[3] AS l_quantity FROM orders LEFT JOIN last ON day = o_orderdate::DATE
+"""
+
 PLANS = {
+    "read_coverage": (read_coverage, READ_COVERAGE),
+    "samples_at_events": (samples_at_events, SAMPLES_AT),
     "interval_merge": (interval_merge, INTERVAL_MERGE),
     "interval_complement": (interval_complement, INTERVAL_COMPLEMENT),
     "interval_coverage": (interval_coverage, INTERVAL_COVERAGE),

@@ -198,7 +198,10 @@ def secret_redaction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CASES = ",\n         ".join(f"CASE WHEN regexp_matches(text, $re${p}$re$) THEN '{c}' END" for c, p in text.SECRETS)
-_CLEAN = "text"
+# Each private key by the marker and as many line ends as it had; then the other rules.
+_KEYS = f"list_distinct(regexp_extract_all(text, $re${text.SECRETS[0][1]}$re$))"
+_CLEAN = f"""list_reduce(list_prepend(text, {_KEYS}),
+         lambda rest, key: replace(rest, key, '{text.REDACTED}' || repeat(chr(10), len(key) - len(replace(key, chr(10), '')))))"""
 for _category, _pattern in text.SECRETS[1:]:
     _CLEAN = f"regexp_replace({_CLEAN}, $re${_pattern}$re$, '{text.REDACTED}', 'g')"
 SECRET_REDACTION = f"""
