@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.storage import cut_lineage, shared_folder, stored  # noqa: F401
+
 #: A word is a maximal run without ASCII white space (space, \t, \n, \v, \f, \r).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -32,30 +32,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only a local master may fall back to a temporary folder, as no other machine reads it."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if not named and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so a lost executor costs no recomputation of it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As cut_lineage for large tables: Parquet in the shared folder, a fraction of a checkpoint's size."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(modulus: int, remainder: int = 2) -> Column:
     """True where crc32 of doc_id as text leaves the remainder; a null doc_id counts as empty text."""
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

@@ -3,10 +3,13 @@
 Each language has a character 4-gram model. The models lie side by side in sorted key arrays, one
 for each order: a row has the gram's log-probability in every language, so one binary search
 serves all of them. A text gets the language of least cross-entropy a character, and is rejected
-if that exceeds what texts of the language reach that were kept out of the counts.
+if that lies far beyond what texts of its language and length reach that were kept out of the
+counts: SPREADS times as far above their median as their ninth decile is, and above all but one in
+200 of them. Neither moves for a few odd or mislabelled texts.
 
-Counting runs on a bounded sample of labelled texts (max_train_chars for each language, whole
-texts, chosen by hash), so the tables have a bounded size and are broadcast.
+Counting runs on a bounded sample of labelled texts (whole texts, chosen by hash): MAX_TRAIN_CHARS
+for each language, less where there are so many languages that MODEL_CELLS is passed. A character
+has one gram at most, so the arrays, which are broadcast, have no more than MODEL_CELLS cells each.
 """
 
 from __future__ import annotations
@@ -22,12 +25,16 @@ from . import common
 
 ORDER = 4
 MAX_TRAIN_CHARS = 2_000_000
-#: A text is rejected beyond so many times the greatest cross-entropy of its language's calibration texts.
-REJECT_FACTOR = 1.25
+#: Log-probabilities in an array at most: grams times languages.
+MODEL_CELLS = 1 << 26
+#: A text is rejected beyond so many times the calibration texts' distance from median to ninth decile.
+SPREADS = 6.0
+#: Lengths in characters from which on texts are compared with each other.
+BANDS = (1, 20, 50, 200, 1000)
+#: A language's texts of a band speak for themselves from this number on; else all languages' do. Their tail counts from FULL_BAND on.
+OWN_BAND, FULL_BAND = 30, 1000
 #: Of the sample, the share that is not counted but sets the limits of rejection.
 CALIBRATION_SHARE = 0.2
-#: Shorter texts vary too much to be rejected, or to set the limit.
-REJECT_CHARS = 50
 #: Characters that count for the confidence of a long text.
 CONFIDENT_CHARS = 40
 UNDETERMINED = "und"
@@ -115,10 +122,15 @@ class Models:
             return UNDETERMINED, 0.0, None, not n
         best = int(entropies.argmin())
         spread = np.exp((entropies[best] - entropies) * min(n, CONFIDENT_CHARS))
-        rejected = n >= REJECT_CHARS and self.limits is not None and bool(entropies[best] > self.limits[best])
+        rejected = self.limits is not None and bool(entropies[best] > self.limits[best, band(n)])
         return self.languages[best], float(1 / spread.sum()), float(entropies[best]), rejected
 
 
+def band(n: int) -> int:
+    """The number of the band of texts with n characters."""
+    return max(0, sum(n >= b for b in BANDS) - 1)
+
+
 def _discount(counts: np.ndarray) -> float:
     once, twice = int((counts == 1).sum()), int((counts == 2).sum())
     return once / (once + 2 * twice) if once else 0.5
@@ -181,7 +193,8 @@ def train(docs: DataFrame, max_train_chars: int = MAX_TRAIN_CHARS) -> Models:
     languages = sorted(sizes)
     if not languages:
         return Models([])
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, max_train_chars / sizes[k])))])
+    most = min(max_train_chars, MODEL_CELLS // len(languages) ** 2)
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, most / sizes[k])))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20) / F.element_at(share, F.col("lang"))
     sample = known.where(draw < 1 - CALIBRATION_SHARE).select("lang", "text")
     other = known.where((draw >= 1 - CALIBRATION_SHARE) & (draw < 1)).select("lang", "text")
@@ -209,19 +222,56 @@ def train(docs: DataFrame, max_train_chars: int = MAX_TRAIN_CHARS) -> Models:
     return models
 
 
+def limits_from(languages: list[str], found: list[dict]) -> np.ndarray:
+    """Limits (language, band) from rows (lang, band, n, q), q being the median, ninth decile and 0.995 quantile.
+
+    Where a language has too few texts of a band, the other languages' spread there is put on its
+    own median; a band that all of them have too few texts of takes the next longer band's, the longest
+    one that of all texts.
+    """
+    out = np.full((len(languages), len(BANDS)), np.inf)
+    by_place = {(r["lang"], r["band"]): r for r in found}
+
+    def usual(rows: list[dict], default: float) -> float:
+        if sum(r["n"] for r in rows) < OWN_BAND:
+            return default
+        rows = [r for r in rows if r["n"] >= OWN_BAND] or rows
+        return max(float(np.average([r["q"][1] - r["q"][0] for r in rows], weights=[r["n"] for r in rows])), 0.02)
+
+    shared, middles = [usual(found, np.nan)] * (len(BANDS) + 1), {}
+    for b in reversed(range(len(BANDS))):
+        shared[b] = usual([r for r in found if r["band"] == b], shared[b + 1])
+    for language in languages:
+        rows = [r for r in found if r["lang"] == language]
+        if rows:
+            middles[language] = max(rows, key=lambda r: r["n"])["q"][0]
+    for i, language in enumerate(languages):
+        for b in range(len(BANDS)):
+            row = by_place.get((language, b))
+            own = row is not None and row["n"] >= OWN_BAND
+            middle = row["q"][0] if own else middles.get(language, max(middles.values(), default=np.nan))
+            spread = max(row["q"][1] - row["q"][0], 0.02) if own else shared[b]
+            if not np.isnan(middle + spread):
+                out[i, b] = middle + SPREADS * spread
+                if own and row["n"] >= FULL_BAND:
+                    out[i, b] = max(out[i, b], row["q"][2])
+    return out
+
+
 def _limits(models: Models, other: DataFrame) -> np.ndarray:
-    """For each language, the cross-entropy beyond which a text is rejected, from texts that were not counted."""
+    """For each language and band, the cross-entropy beyond which a text is rejected, from texts that were not counted."""
     shared = other.sparkSession.sparkContext.broadcast(models)
 
     def entropies(batch: pa.RecordBatch) -> dict:
         place = {x: i for i, x in enumerate(shared.value.languages)}
-        rows = [(x, shared.value.cross_entropies(t)) for x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        rows = [(x, float(e[place[x]])) for x, (e, n) in rows if n >= REJECT_CHARS and x in place]
-        return {"lang": pa.array([x for x, _ in rows], pa.string()), "h": pa.array([e for _, e in rows], pa.float64())}
-
-    spread = common.map_rows(other, "lang string, h double", entropies).groupBy("lang")
-    found = {r["lang"]: r["most"] for r in spread.agg(F.max("h").alias("most")).collect()}
-    return np.array([REJECT_FACTOR * found.get(x, np.inf) for x in models.languages])
+        rows = [(x, *shared.value.cross_entropies(t)) for x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if x in place]
+        rows = [(x, band(n), float(e[place[x]])) for x, e, n in rows if n]
+        kinds = (pa.string(), pa.int32(), pa.float64())
+        return {name: pa.array([r[i] for r in rows], kinds[i]) for i, name in enumerate(("lang", "band", "h"))}
+
+    spread = common.map_rows(other, "lang string, band int, h double", entropies).groupBy("lang", "band")
+    found = spread.agg(F.count("*").alias("n"), F.percentile_approx("h", [0.5, 0.9, 0.995]).alias("q")).collect()
+    return limits_from(models.languages, [r.asDict() for r in found])
 
 
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, nats double, rejected boolean"

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from ..operators.graph import star_components
 from . import common
-from .components import star_components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
@@ -199,15 +199,19 @@ def links(distinct: DataFrame, words: range = range(1), radii: tuple[int, ...] =
     return dealt.mapInArrow(_scan(radii), "u long, v long").distinct()
 
 
-def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (fp, root, component_id) for nodes (fp, first_id) joined by edges (u, v).
+def rooted(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """nodes (name, first_id, ...) joined by edges (u, v) between names, with root and component_id.
 
-    root is the smallest fingerprint of the component, component_id the smallest doc_id in it.
+    Components run on nodes that carry their smallest doc_id in front of their name, so the least node
+    of a component has its component_id, null only if all are null, and nothing is gathered by root.
     """
-    roots = star_components(edges)
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return joined.join(least, "root").select("fp", "root", "component_id")
+    own = F.struct(F.col("first_id").isNull().alias("missing"), F.col("first_id").alias("id"), F.col(name).alias("name"))
+    ends = nodes.select(F.col(name).alias("end"), own.alias("is"))
+    left, right = (ends.select(F.col("end").alias(x), F.col("is").alias(f"{x}_is")) for x in "uv")
+    placed = edges.join(left, "u").join(right, "v").select(F.col("u_is").alias("u"), F.col("v_is").alias("v"))
+    roots = star_components(placed).select(F.col("node.name").alias("of"), F.col("root").alias("to"))
+    joined = nodes.join(roots, F.col(name) == F.col("of"), "left").withColumn("to", F.coalesce("to", own))
+    return joined.select(*nodes.columns, F.col("to.name").alias("root"), F.col("to.id").alias("component_id"))
 
 
 def _nodes(printed: DataFrame) -> DataFrame:
@@ -215,9 +219,9 @@ def _nodes(printed: DataFrame) -> DataFrame:
 
 
 def components(printed: DataFrame) -> DataFrame:
-    """Rows (fp, root, component_id) for the fingerprints in printed (doc_id, fp, wide), linked at MAX_BITS or fewer."""
+    """Rows (fp, component_id) for the fingerprints in printed (doc_id, fp, wide), linked at MAX_BITS or fewer."""
     nodes = _nodes(printed)
-    return _rooted(nodes, links(nodes))
+    return rooted(nodes, links(nodes), "fp").select("fp", "component_id")
 
 
 def bands(n: int) -> np.ndarray:
@@ -365,24 +369,17 @@ def near_components(docs: DataFrame, width: int) -> DataFrame:
     nodes, texts = kept.select("node", "first_id", "wide"), kept.select("node", "text")
     places = bands(nodes.count())
 
-    def rooted(edges: DataFrame) -> DataFrame:
-        roots = star_components(edges).withColumnRenamed("node", "of")
-        joined = nodes.join(roots, F.col("node") == F.col("of"), "left")
-        return joined.select("node", "first_id", "wide", F.coalesce("root", "node").alias("root"))
-
     def met(found: DataFrame, search, bits: int) -> DataFrame:
         return _banded(found, places).mapInArrow(_met(search, bits), "u long, v long").distinct()
 
     forest = common.cut_lineage(met(nodes.withColumn("root", F.col("node")), _wide_forest, SURE_BITS).withColumn("sure", F.lit(True)))
-    across = met(rooted(forest), _wide_pairs, WIDE_BITS).withColumn("sure", F.lit(False))
+    across = met(rooted(nodes, forest, "node"), _wide_pairs, WIDE_BITS).withColumn("sure", F.lit(False))
     decided = common.cut_lineage(similar(forest.union(across), texts, width))
     near = decided.where("near").select("u", "v")
     if decided.where("sure and not near").limit(1).count():
-        again = met(rooted(near), _wide_pairs, WIDE_BITS).withColumn("sure", F.lit(False))
+        again = met(rooted(nodes, near, "node"), _wide_pairs, WIDE_BITS).withColumn("sure", F.lit(False))
         near = near.union(similar(again, texts, width).where("near").select("u", "v"))
-    found = rooted(near)
-    least = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found.join(least, "root").select("node", "root", "component_id")
+    return rooted(nodes, near, "node").select("node", "root", "component_id")
 
 
 def node_of(wide: str) -> Column:
@@ -409,6 +406,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint's component. A null or wordless text has fingerprint zero; repeated rows share theirs."""
     docs = common.documents(spark, sf_dir)
     printed = common.cut_lineage(fingerprints(docs, width=4))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from . import common
 
 #: Characters of training text for each label; whole texts are drawn by hash.
 MAX_TRAIN_CHARS = 8_000_000
-#: Features that the strongest contrasts between the labels leave for training.
-MAX_FEATURES = 50_000
+#: Features for training: those whose shares of documents differ between the labels by CONTRAST standard
+#: errors or more, in LEAST_DOCUMENTS documents or more, the strongest ones if they are more than that.
+MAX_FEATURES, CONTRAST, LEAST_DOCUMENTS = 50_000, 3.0, 4
 EPOCHS = 200
 THRESHOLD = 0.3
 #: A sentence is named as offending from this score on.
@@ -88,14 +90,45 @@ def _contrasts(bags: list[tuple[int, float, list[Counter]]], max_features: int)
     strength = {}
     for feature in seen[0].keys() | seen[1].keys():
         a, b = seen[0][feature], seen[1][feature]
-        if a + b >= 4:
+        if a + b >= LEAST_DOCUMENTS:
             pooled = (a + b) / sum(totals)
             error = np.sqrt(pooled * (1 - pooled) * (1 / totals[0] + 1 / totals[1])) + 1e-9
             strength[feature] = abs(a / totals[0] - b / totals[1]) / error
-    strong = [f for f, z in strength.items() if z >= 3]
+    strong = [f for f, z in strength.items() if z >= CONTRAST]
     return sorted(strong, key=lambda f: (-strength[f], f))[:max_features]
 
 
+@dataclass
+class Bags:
+    """Documents as bags of sentences: features (sentence_of, feature_of, times), doc_of each sentence, labels and shares of documents."""
+
+    sentence_of: np.ndarray
+    feature_of: np.ndarray
+    times: np.ndarray
+    doc_of: np.ndarray
+    labels: np.ndarray
+    shares: np.ndarray
+
+    def _odds(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of every sentence, and of every document the negative logarithm that none is toxic."""
+        z = w[-1] + np.bincount(self.sentence_of, w[self.feature_of] * self.times, len(self.doc_of))
+        return z, np.bincount(self.doc_of, np.logaddexp(0, z), len(self.labels))
+
+    def loss(self, w: np.ndarray) -> float:
+        """Negative log-likelihood of the labels; the last weight is the bias."""
+        _, clear = self._odds(w)
+        toxic = np.log(np.clip(-np.expm1(-clear), 1e-9, 1))
+        return float(-(self.shares * np.where(self.labels > 0, toxic, -clear)).sum())
+
+    def slope(self, w: np.ndarray) -> np.ndarray:
+        """The derivative of loss by each weight: a sentence's chance for a clean document, less (1 - P) / P of it for a toxic one."""
+        z, clear = self._odds(w)
+        p = np.clip(-np.expm1(-clear), 1e-9, 1)
+        pull = self.shares * np.where(self.labels > 0, -(1 - p) / p, 1.0)
+        dz = pull[self.doc_of] / (1 + np.exp(-z))
+        return np.r_[np.bincount(self.feature_of, dz[self.sentence_of] * self.times, len(w) - 1), dz.sum()]
+
+
 def fit(rows: list[tuple[int, float, str]], max_features: int, epochs: int) -> tuple[dict[str, float], float]:
     """Feature weights and bias from (label, row weight, text), by Adam on the noisy-or likelihood."""
     bags = []
@@ -115,21 +148,16 @@ def fit(rows: list[tuple[int, float, str]], max_features: int, epochs: int) -> t
             doc_of.append(d)
     if not doc_of:
         return {}, -20.0
-    sentence_of, feature_of, doc_of = np.array(sentence_of, np.int64), np.array(feature_of, np.int64), np.array(doc_of)
-    times = np.array(times, np.float64)
-    labels, row_weights = np.array([b[0] for b in bags], float), np.array([b[1] for b in bags])
-    row_weights = row_weights / row_weights.sum()
+    row_weights = np.array([b[1] for b in bags])
+    known = Bags(
+        np.array(sentence_of, np.int64), np.array(feature_of, np.int64), np.array(times, np.float64), np.array(doc_of),
+        np.array([b[0] for b in bags], float), row_weights / row_weights.sum(),
+    )
     w = np.zeros(len(names) + 1)
     w[-1] = -6.0
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, epochs + 1):
-        z = w[-1] + np.bincount(sentence_of, w[feature_of] * times, len(doc_of))
-        clear = np.bincount(doc_of, np.logaddexp(0, z), len(bags))
-        p = np.clip(-np.expm1(-clear), 1e-9, 1)
-        # d(-log likelihood)/dz: p_s for a clean document, -p_s (1 - P) / P for a toxic one.
-        pull = row_weights * np.where(labels > 0, -(1 - p) / p, 1.0)
-        dz = pull[doc_of] / (1 + np.exp(-z))
-        slope = np.r_[np.bincount(feature_of, dz[sentence_of] * times, len(names)), dz.sum()]
+        slope = known.slope(w)
         slope[:-1] += 1e-5 * w[:-1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)

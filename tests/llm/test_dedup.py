@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tallgrass.llm import common, exact_dedup, simhash, suffix_dedup
-from tallgrass.llm.components import star_components
+from tallgrass.operators.graph import star_components
 from tests.llm.helpers import HARD, documents, sentences
 
 
