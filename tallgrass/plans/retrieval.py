@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import compaction, graph, relevance, snapshots, windows
+from ..operators import allocation, compaction, graph, relevance, snapshots, windows
 from ..sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -96,6 +96,12 @@ WHERE rank <= 10
 
 def signal_dedupe_max(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as files and types as queries: a term of the name outweighs one of the brand under the same key."""
+    return _part_signals(spark, sf).groupBy("query_id", "path").agg(
+        F.sum("weight").alias("score"), F.count("*").alias("n_signals"), F.max_by("kind", "weight").alias("best_kind")
+    )
+
+
+def _part_signals(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part")
     asked = parts.select(F.col("p_type").alias("query_id")).distinct().withColumn("term", F.explode(text.terms("query_id")))
     in_name = parts.select(F.col("p_partkey").cast("string").alias("path"), F.explode(text.terms("p_name")).alias("term"))
@@ -105,9 +111,20 @@ def signal_dedupe_max(spark: SparkSession, sf: str) -> DataFrame:
     for kind, words in kinds.items():
         found = relevance._signals(asked.join(words, "term"), kind, relevance._term_key())
         rows = found if rows is None else rows.unionByName(found)
-    return relevance.strongest(rows).groupBy("query_id", "path").agg(
-        F.sum("weight").alias("score"), F.count("*").alias("n_signals"), F.max_by("kind", "weight").alias("best_kind")
-    )
+    return relevance.strongest(rows)
+
+
+def range_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty best parts of each type as ranges of p_size lines, chosen under a budget; a choice step by step, beyond SQL."""
+    ranked = relevance.top_k(_part_signals(spark, sf), 20)
+    size = F.col("p_size").cast("long")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), size.alias("size"))
+    ranges = ranked.join(parts, "path").select(
+        "query_id", "path", F.lit(1).cast("long").alias("start"), F.col("size").alias("end"), (F.col("size") * 10).alias("cost"),
+        (F.col("size") == 7).alias("required"), (F.col("size") % 5 == 0).alias("anchor"), F.lit(False).alias("is_test"),
+        (F.col("size") % 11 != 0).alias("affinity"), "score", "signals",
+    )
+    return allocation.allocate(ranges, 1500)
 
 
 SIGNAL_DEDUPE = f"""
@@ -386,6 +403,7 @@ PLANS = {
     "useful_terms": (useful_terms, USEFUL_TERMS),
     "relevance_topk": (relevance_topk, RELEVANCE_TOPK),
     "signal_dedupe_max": (signal_dedupe_max, SIGNAL_DEDUPE),
+    "range_allocation": (range_allocation, None),
     "exact_symbol_join": (exact_symbol_join, EXACT_SYMBOL),
     "lexical_family_join": (lexical_family_join, LEXICAL_FAMILY),
     "path_parts": (path_parts, PATH_PARTS),

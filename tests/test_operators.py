@@ -41,14 +41,25 @@ def test_redaction_finds_four_kinds_and_spares_code(spark):
     assert not any(s in clean for s in ("hunter2", "abcdefgh12345", "me:pw", "def\n", "=abc"))
     assert clean.count("\n") == secret.count("\n")
     assert one(spark, text.secret_categories("t"), t=secret) == ["assigned secret", "bearer token", "credential URL", "private key"]
-    plain = "token_count = 3\npassword_hash = hash_password(value)"
+    plain = "tokens = count(words)\nsecretary: present\nhttps://host/path@rev"
     assert one(spark, text.redacted("t"), t=plain) == plain
 
 
+def test_every_private_key_is_redacted(spark):
+    key = lambda kind, body: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    raw = f"one\n{key('RSA ', 'first+/=')}\ntwo {key('', 'second')} {key('EC ', 'third')} {key('', 'second')}\nrest"
+    clean = one(spark, text.redacted("t"), t=raw)
+    assert not any(s in clean for s in ("first", "second", "third", "PRIVATE KEY")) and clean.count(text.REDACTED) == 4
+    assert clean.split("\n")[0] == "one" and clean.split("\n")[-1] == "rest" and clean.count("\n") == raw.count("\n")
+
+
 def test_family_and_prefix(spark):
     assert one(spark, text.common_prefix_length("a", "b"), a="authenticate", b="authentication") == 11
     assert one(spark, text.is_family("a", "b"), a="authenticate", b="authentication")
-    assert not one(spark, text.is_family("a", "b"), a="author", b="authentication") or len("author") >= 6
+    assert one(spark, text.is_family("a", "b"), a="author", b="authorise")
+    assert not one(spark, text.is_family("a", "b"), a="author", b="author")
+    assert not one(spark, text.is_family("a", "b"), a="authority", b="authentic")
+    assert not one(spark, text.is_family("a", "b"), a="conversationalist", b="convergencetheory")
     assert not one(spark, text.is_family("a", "b"), a="short", b="shorter")
 
 
@@ -324,3 +335,188 @@ def test_pack_takes_required_ranges_and_fits_the_budget(spark):
     assert metrics.n_ranges == 2 and metrics.selected_tokens <= 400 and metrics.tokens_avoided > 0
     required = spark.createDataFrame([("q", "a.py", 10, 12), ("q", "b.py", 60, 61)], "query_id string, path string, start long, end long")
     assert packing.recall(packed, required).first()[1:] == (0.5, 0.5)
+
+
+def test_rates_tools_and_importance(spark):
+    assert one(spark, numbers.per_second("a", "b"), a=30, b=2000) == 15.0
+    assert [one(spark, telemetry.tool_kind("t"), t=t) for t in ("Read", "MultiEdit", "Glob", "Bash", "Else")] == ["read", "edit", "listing", "bash", "other"]
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b")], "source string, target string")
+    rows = [("a", "K", "class"), ("a", "_h", "function"), *[("b", f"f{i}", "function") for i in range(5)]]
+    scores = graph.importance(edges, spark.createDataFrame(rows, "path string, name string, kind string"))
+    assert values(scores, "path", "score") == [("a", 3 * 2 + 2 + 1), ("b", 3 + 3)]
+
+
+def test_sinks_write_what_is_read_back(spark, tmp_path):
+    from tallgrass import sinks
+
+    df = spark.createDataFrame([(1, "x", [1, 2]), (2, None, None)], "k long, t string, a array<long>")
+    sinks.write_json(df, str(tmp_path / "json"))
+    assert values(spark.read.schema(df.schema).json(str(tmp_path / "json")), "k", "t", "a") == [(1, "x", [1, 2]), (2, None, None)]
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "json")).collect()]
+    assert {"k": 2, "t": None, "a": None} in lines
+    sinks.write_json(df, str(tmp_path / "parts"), ["k"])
+    assert sorted(p.name for p in (tmp_path / "parts").glob("k=*")) == ["k=1", "k=2"]
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(spark.read.option("header", True).csv(str(tmp_path / "csv")).select("k", "a").collect()) == [("1", "[1,2]"), ("2", None)]
+    for _ in range(2):
+        sinks.append_log(df, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+    sinks.write_once(df, str(tmp_path / "once"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_once(df, str(tmp_path / "once"))
+
+
+def test_second_run_log_folds(spark):
+    usage = lambda i, o: {"input_tokens": i, "output_tokens": o}
+    call = lambda name, **given: {"type": "tool_use", "name": name, "input": given}
+    said = lambda blocks, **more: {"type": "assistant", "message": {"model": "m1", "content": blocks, **more}}
+    runs = {
+        "done": [
+            {"type": "system", "session_id": "s1"},
+            said([{"type": "text", "text": "hm"}, call("Read", file_path="a.py"), call("Read", file_path="a.py")], usage=usage(5, 1)),
+            said([call("Grep", pattern="x"), call("Edit", file_path="a.py"), call("Custom"), call("Read", file_path="b.py")]),
+            {"type": "result", "subtype": "success", "result": "fine", "duration_ms": 12, "num_turns": 3, "usage": usage(100, 20)},
+        ],
+        "cut": [said([], usage=usage(5, 1)), said("text", usage={"input_tokens": 7, "output_tokens": -1}), "no json", [1]],
+        "bad": [{"type": "result", "subtype": "error_max_turns", "result": None}, {"type": "result", "is_error": True}],
+    }
+    rows = [(run, n, x if isinstance(x, str) else json.dumps(x)) for run, lines in runs.items() for n, x in enumerate([*lines, ""], 1)]
+    lines = spark.createDataFrame(rows, "run_id string, line_no long, value string")
+    found = {r.run_id: r for r in telemetry.fold_streams(lines).collect()}
+    done, cut = found["done"], found["cut"]
+    assert (done.session, done.model, done.status, done.result, done.duration_ms, done.turns) == ("s1", "m1", "success", "fine", 12, 3)
+    assert (done.input_tokens, done.output_tokens, done.cache_read_input_tokens) == (100, 20, None)
+    assert (done.n_actions, done.n_read, done.n_search, done.n_edit, done.n_rereads) == (6, 3, 1, 1, 1)
+    assert (cut.status, cut.n_malformed, cut.input_tokens, cut.output_tokens, cut.n_actions) == ("incomplete", 2, 12, 1, 0)
+    assert found["bad"].status == "error"
+    assert values(telemetry.malformed(lines), "run_id", "line_no", "problem") == [("cut", 3, "malformed"), ("cut", 4, "not an object")]
+
+
+def test_searches_and_what_they_cover(spark):
+    commands = {
+        "rg -n word src/a.py": ("search", True, ["src/a.py"], False),
+        "rg word": ("search", False, [], True),
+        "grep -n 'two words' src ./tests/": ("search", True, ["src", "./tests/"], False),
+        "rg -n -l word .": ("search", False, [], False),
+        "rg -n -e word src": ("search", True, [], False),
+        "rg --files src": ("file_listing_search", False, [], False),
+        "git grep word -- src/a.py": ("search", True, ["src/a.py"], False),
+        "git grep -c word": ("search", False, [], True),
+        'Select-String -Pattern x -Path "src/a.py"': ("search", True, ["src/a.py"], False),
+        "/usr/bin/rg.exe -n word ../up src/*.py": ("search", True, [], False),
+        "rg word | head": None,
+        "cat src/a.py": None,
+        "git log": None,
+        "rg 'open": None,
+    }
+    rows = spark.createDataFrame([("r", c) for c in commands], "run_id string, command string")
+    found = telemetry.searches(rows).cache()
+    got = {r.command: (r.kind, r.prints, r.targets, r.wide) for r in found.collect()}
+    assert got == {c: x for c, x in commands.items() if x}
+    paths = spark.createDataFrame([("src/a.py", False), ("src", True), ("tests", True)], "path string, is_folder boolean")
+    summary = telemetry.search_summary(found, paths).first()
+    assert summary.searched_paths == ["src/", "src/a.py", "tests/"]
+    assert (summary.content_search_calls, summary.file_targeted_searches, summary.repository_wide_searches, summary.file_listing_searches) == (6, 3, 2, 1)
+
+
+def test_named_reads(spark):
+    reads = spark.createDataFrame([("r", "a"), ("r", "b")], "run_id string, path string")
+    named = spark.createDataFrame([("r", "a"), ("r", "a"), ("q", "b")], "run_id string, path string")
+    assert values(telemetry.named_reads(reads, named), "path", "membership") == [("a", telemetry.NAMED), ("b", telemetry.NOT_NAMED)]
+
+
+KINDS = ("filename_term", "symbol_term", "source_term", "family_term", "exact_symbol", "import_neighbor", "related_test")
+
+
+def random_ranges(seed):
+    pick = random.Random(seed)
+    rows = []
+    for query in range(3):
+        for i in range(pick.randint(6, 14)):
+            signals = [(k := pick.choice(KINDS), f"{k}:{(t := pick.choice('stuvwx'))}", float(pick.choice((3, 8, 10, 12, 28))), t) for _ in range(pick.randint(0, 4))]
+            start = pick.randint(1, 40)
+            rows.append(
+                (query, f"d{i % 3}/f{i}.py", start, start + 5, pick.randint(50, 400), pick.random() < 0.1, pick.random() < 0.2,
+                 pick.random() < 0.2, pick.random() < 0.85, pick.random() * 150, signals)
+            )
+    return rows
+
+
+def taken_simply(rows, budget):
+    """The first three phases, range by range: names of what is taken with its phase."""
+    frequency = {}
+    for r in rows:
+        for _, key, _, _ in r[10]:
+            frequency[key] = frequency.get(key, 0) + 1
+    covered, taken, used = set(), {}, 0
+
+    def fresh(r):
+        found = {}
+        for kind, key, weight, term in r[10] if r[8] else ():
+            name = f"fileterm:{term}:{'test' if r[7] else 'source'}" if kind == "filename_term" else key
+            few = frequency[key] <= 3
+            worth = {"exact_symbol": 120, "source_term": 9 if few else 3, "family_term": 4 if few else 1}.get(kind, 0)
+            if kind in ("filename_term", "symbol_term"):
+                worth = weight * (1 + 1 / frequency[key])
+            if worth and name not in covered:
+                found[name] = found.get(name, 0) + worth
+        if r[6] and r[8] and f"anchor:{r[1]}" not in covered:
+            found[f"anchor:{r[1]}"] = 35
+        return found
+
+    for r in sorted((r for r in rows if r[5]), key=lambda r: (-r[9], r[1], r[2])):
+        covered |= set(fresh(r))
+        taken[r[1]], used = "REQUIRED", used + r[4]
+    while True:
+        best = None
+        for r in rows:
+            gain = sum(fresh(r).values())
+            if r[1] not in taken and used + r[4] <= budget and gain > 0:
+                rank = (gain * (1 + min(r[9], 120) / 600) / (r[4] + 80) ** 0.65, gain, -r[4], r[1])
+                if best is None or rank > best[0]:
+                    best = rank, r
+        if best is None:
+            break
+        covered |= set(fresh(best[1]))
+        taken[best[1][1]], used = "COVERAGE", used + best[1][4]
+    rare = lambda r: any(k == "family_term" and w >= 10 for k, _, w, _ in r[10])
+    for r in sorted(rows, key=lambda r: (-r[9] * (2.5 if rare(r) else 1) / (r[4] + 80) ** 0.4, r[1], r[2])):
+        if r[1] not in taken and r[8] and used + r[4] <= budget:
+            taken[r[1]], used = "DEPTH", used + r[4]
+    return taken
+
+
+def strengths(rows, names):
+    best = {}
+    for r in rows:
+        if r[1] in names:
+            for kind, _, weight, term in r[10]:
+                value = 3 if kind in ("filename_term", "symbol_term") else 2 if kind == "source_term" and weight >= 10 else 1 if kind == "family_term" and weight >= 8 else 0
+                best[term] = max(best.get(term, 0), value)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_allocation_against_a_simple_choice(spark, seed):
+    from tallgrass.operators import allocation
+
+    signal = "array<struct<kind:string,key:string,weight:double,term:string>>"
+    schema = f"query_id long, path string, start long, end long, cost long, required boolean, anchor boolean, is_test boolean, affinity boolean, score double, signals {signal}"
+    rows, budget = random_ranges(seed), 900
+    found = allocation.allocate(spark.createDataFrame(rows, schema), budget).collect()
+    assert len(found) == len(rows)
+    for query in range(3):
+        own = [r for r in rows if r[0] == query]
+        simple = taken_simply(own, budget)
+        got = {r.path: r.phase for r in found if r.query_id == query and r.phase}
+        new = [p for p, phase in got.items() if phase == "REPAIR"]
+        assert {p: x for p, x in got.items() if p not in new} == {p: x for p, x in simple.items() if p in got}
+        gone = set(simple) - set(got)
+        assert len(new) <= 1 and (new or not gone) and all(simple[p] == "DEPTH" for p in gone)
+        before, after = strengths(own, simple), strengths(own, got)
+        assert all(after.get(t, 0) >= s for t, s in before.items())
+        cost = {r[1]: r[4] for r in own}
+        fixed = sum(cost[p] for p, x in got.items() if x == "REQUIRED")
+        assert sum(cost[p] for p in got) <= max(budget, fixed)
+        assert all((r.reason is None) == (r.phase is not None) for r in found if r.query_id == query)
+    assert allocation.allocate(spark.createDataFrame([], schema), budget).count() == 0
