@@ -178,6 +178,7 @@ def kept_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equals; a null text equals an empty one."""
     digest = F.sha2(common.text_or_empty(), 256)
     return exact_dedup(common.documents(spark, sf_dir).select("doc_id", digest.alias("text_sha256")))
 

@@ -9,6 +9,8 @@ first, then a prefix of the order, whose last document is cut at the exact word.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Ranges of the key space in each source, a power of two: a window sorts one range of one source.
-RANGES = 4096
+#: A window sorts one range of one source: ranges are so many that all rows would fill each with RANGE_ROWS.
+RANGE_ROWS, MOST_RANGE_BITS = 4096, 20
 KEY_BITS = 60
 
 
@@ -57,7 +59,7 @@ def with_targets(sources: DataFrame, max_epochs: int) -> DataFrame:
     full = F.col("left") * F.col("weight") >= F.col("limit") * F.col("weight_left")
     open_at = F.first(F.when(~full, F.struct("left", "weight_left")), ignorenulls=True)
     return marked.withColumn("open", open_at.over(order)).select(
-        "source",
+        "name",
         "source_size",
         F.when(F.col("open").isNull(), F.col("limit").cast("double"))
         .otherwise((F.col("open.left") * F.col("weight")).cast("double") / F.col("open.weight_left"))
@@ -70,7 +72,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = 42,
-    ranges: int = RANGES,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """All rows of docs as struct __row with size, source_size, target and taken.
 
@@ -79,26 +81,26 @@ def mix(
     rows are counted one by one. The sum of taken is the floor of the target in each source; an
     empty table gives no rows. Columns of docs may have any names.
     """
+    bits = min(MOST_RANGE_BITS, max(4, math.ceil(math.log2(1 + docs.count() / range_rows))))
+    # A source and its absence by a name that is never null, so that window and joins share one partitioning.
+    name = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
     sized = docs.select(
         F.struct("*").alias("__row"),
         F.col("doc_id").alias("doc_id"),
         F.col("source").alias("source"),
+        name.alias("name"),
         F.coalesce(F.regexp_count("text", F.lit(common.WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         random_key(seed).alias("key"),
-    ).withColumn("range", F.shiftright("key", KEY_BITS - (ranges.bit_length() - 1)))
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    totals = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
+    ).withColumn("range", F.shiftright("key", KEY_BITS - bits))
+    sums = sized.groupBy("name", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
+    totals = sums.groupBy("name").agg(F.sum("range_size").alias("source_size"), F.first("source").alias("source"))
     targets = with_targets(with_weights(totals, weights), max_epochs)
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
-    placed = offsets.join(
-        targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))
-    ).select(F.col("source").alias("of"), F.col("range").alias("of_range"), "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
+    before = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("name", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
+    placed = offsets.join(targets.select("name", "source_size", "target"), "name")
+    inside = Window.partitionBy("name", "range").orderBy("key", "doc_id", "size")
     running = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summed = sized.withColumn("through", running).join(
-        placed, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range"))
-    )
+    summed = sized.withColumn("through", running).join(placed, ["name", "range"])
     through = F.col("offset") + F.col("through")
     return summed.select("__row", "size", "source_size", "target", taken(through).cast("long").alias("taken"))
 
@@ -123,6 +125,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; a null text has size 0, and null sources are one source."""
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
     return mix(docs).select("__row.doc_id", "size", "source_size", "target", "taken")
 

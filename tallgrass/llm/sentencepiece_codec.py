@@ -192,4 +192,5 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to; none for a null or empty text."""
     return encode_documents(common.documents(spark, sf_dir))

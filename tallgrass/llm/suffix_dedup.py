@@ -370,4 +370,5 @@ def removed(docs: DataFrame, length: int = LENGTH, group_items: int = GROUP_ITEM
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every document; a null text is empty, rows of equal doc_id and text repeat each other."""
     return removed(common.documents(spark, sf_dir))

@@ -107,4 +107,5 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and piece counts of every document; none for a null or empty text."""
     return count_tokens(common.documents(spark, sf_dir))

@@ -193,7 +193,7 @@ def slow_slots(before, word, last, table_bits):
     for k, key in enumerate(keys, 1):
         key = ((key ^ key >> 32) + k) * 0x94D049BB133111EB % top
         key = (key ^ key >> 29) * 0x9E3779B97F4A7C15 % top
-        out.append(key >> 64 - table_bits)
+        out.append(key >> 64 - table_bits + lm_scoring.HALVED[k - 1])
     return out
 
 
@@ -232,7 +232,7 @@ def small_model(texts, table_bits=16):
     learner.wait = 1000
     learner.add(coded)
     learner.close()
-    odds = np.stack([lm_scoring.stored_odds(c) for c in learner.counts])
+    odds = [lm_scoring.stored_odds(c) for c in learner.counts]
     refined = (learner.steps[:, 1] + 1) / (learner.steps.sum(axis=1) + 2)
     return lm_scoring.Model(learner.code, odds, learner.weights.astype(np.float32), refined.astype(np.float32)), coded, learner
 
@@ -252,7 +252,7 @@ def test_mixed_bits_equal_those_of_a_slow_coder(monkeypatch):
 def test_counts_are_those_of_every_bit_of_every_text():
     texts = [sentences(i, 15) for i in range(12)] + ["", "ends here"]
     model, coded, learner = small_model(texts)
-    counts = np.zeros_like(learner.counts)
+    counts = [np.zeros_like(c) for c in learner.counts]
     for text in coded:
         word = last = b""
         for i, byte in enumerate(text):
@@ -260,9 +260,9 @@ def test_counts_are_those_of_every_bit_of_every_text():
             pair = before[-1] * 256 + byte
             for j in range(model.code.offsets[pair], model.code.offsets[pair] + model.code.lengths[pair]):
                 for k, slot in enumerate(slow_slots(before, word, last, 16)):
-                    counts[k, slot ^ int(model.code.nodes[j]), model.code.bits[j]] += 1
+                    counts[k][slot ^ int(model.code.nodes[j]), model.code.bits[j]] += 1
             word, last = (b"", word) if byte in (lm_scoring.SPACE, lm_scoring.END) else (word + bytes([byte]), last)
-    assert (counts == learner.counts).all()
+    assert all((a == b).all() for a, b in zip(counts, learner.counts, strict=True))
 
 
 def test_codes_are_prefix_codes_with_nodes_from_the_root():
@@ -300,7 +300,7 @@ def test_bit_counts_are_not_cut_at_16_bits():
     text = lm_scoring.coded([b"aaaaaaaa"] * 20_000)
     learner = lm_scoring.Learner(lm_scoring.Code.of(lm_scoring.pairs_in(np.frombuffer(text, np.uint8))), 16)
     learner._count([text])
-    assert learner.counts.max() >= 70_000
+    assert max(c.max() for c in learner.counts) >= 70_000
 
 
 def test_printed_fingerprints_hold_whole_hashes():
