@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that never count as terms.
-STOP_WORDS = (
+STOP_WORDS = [
     "a", "an", "and", "are", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of",
     "on", "or", "the", "this", "to", "was", "where", "why", "with", "file", "code", "handled", "handle",
     "fix", "bug", "repository", "symbol", "component", "concrete", "concise", "explain", "explanation",
     "implementation", "modify", "proving", "name", "used", "already", "works", "give", "not", "required",
-)
+]
 
 # Extension to language.
 LANGUAGES = {
