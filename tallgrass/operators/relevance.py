@@ -173,9 +173,10 @@ def rank(
     asked = queries.select("query_id", F.explode(T.terms(F.concat_ws(" ", "task", "error_text"))).alias("term"))
     in_path = files.select("path", F.explode(T.terms("path")).alias("term"))
     in_symbol = symbols.select("path", F.explode(T.terms("name")).alias("term"))
-    useful = useful_terms(asked, document_frequency(in_path.union(in_symbol).distinct()), files.count())
-    direct = direct_signals(queries, files, symbols, imports, useful)
-    found = strongest(direct.unionByName(graph_signals(direct, edges, files)))
+    # Each of these is read several times below, so it is made once.
+    useful = stored(useful_terms(asked, document_frequency(in_path.union(in_symbol).distinct()), files.count()))
+    direct = stored(direct_signals(queries, files, symbols, imports, useful))
+    found = stored(strongest(direct.unionByName(graph_signals(direct, edges, files))))
     found = found.unionByName(source_signals(found, files, useful))
     changed = queries.select("query_id", F.explode("changed").alias("path")).select("query_id", T.normalised_path("path").alias("path"))
     touched = found.select("query_id", "path").distinct().join(changed.distinct(), ["query_id", "path"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import allocation, compaction, graph, relevance, snapshots, windows
+from ..operators import allocation, compaction, graph, packing, relevance, snapshots, windows
 from ..sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -114,6 +114,45 @@ def _part_signals(spark: SparkSession, sf: str) -> DataFrame:
     return relevance.strongest(rows)
 
 
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Documents as source files in a folder a source: files, symbols (first words of documents), imports and edges between neighbours."""
+    docs = table(spark, sf, "documents")
+    path = lambda i: F.concat(F.lit("src/"), "source", F.lit("/part_"), i.cast("string"), F.lit(".py"))
+    lines = F.size(F.split("text", "\n"))
+    files = docs.select(path(F.col("doc_id")).alias("path"), "text", (F.col("doc_id") % 10 == 0).alias("is_test"), lines.alias("line_count"), "doc_id", "source")
+    name = F.lower(F.regexp_extract("text", r"([A-Za-z]\w+)", 1))
+    symbols = files.select(
+        "path", name.alias("name"), F.concat_ws(".", "source", name).alias("qualified_name"), F.lit(1).alias("start_line"), F.least("line_count", F.lit(10)).alias("end_line")
+    ).where("name <> ''")
+    imports = files.select("path", F.col("source").alias("module"), F.lit(None).cast("string").alias("name"))
+    back = files.select((F.col("doc_id") + 1).alias("doc_id"), F.col("path").alias("target"), F.col("is_test").alias("target_test"))
+    near = files.join(back, "doc_id")
+    edges = near.select(F.col("path").alias("source"), "target", F.lit("IMPORTS").alias("kind"))
+    tests = near.where("is_test and not target_test").select(F.col("path").alias("source"), "target", F.lit("TESTS").alias("kind"))
+    return files, symbols, imports, edges.union(tests)
+
+
+def _ranked(spark: SparkSession, sf: str, tree: tuple[DataFrame, ...]) -> DataFrame:
+    none = F.array().cast("array<string>")
+    asked = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("task"), F.lit("").alias("error_text"), none.alias("paths"), none.alias("symbols"), none.alias("changed")
+    )
+    files, symbols, imports, edges = tree
+    return relevance.rank(asked, files.select("path", "text", "is_test"), symbols, imports, edges)
+
+
+def full_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages as tasks over documents as files, by all kinds of matches."""
+    found = _ranked(spark, sf, _tree(spark, sf))
+    return found.select("query_id", "path", "score", "role", "rank", F.size("signals").alias("n_signals"))
+
+
+def packed_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """What a budget takes of the ranges of full_ranking, and what it avoids, for each passage."""
+    tree = _tree(spark, sf)
+    return packing.pack_metrics(packing.pack(_ranked(spark, sf, tree), tree[1], tree[0].select("path", "text", "line_count")))
+
+
 def range_allocation(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty best parts of each type as ranges of p_size lines, chosen under a budget; a choice step by step, beyond SQL."""
     ranked = relevance.top_k(_part_signals(spark, sf), 20)
@@ -403,6 +442,8 @@ PLANS = {
     "useful_terms": (useful_terms, USEFUL_TERMS),
     "relevance_topk": (relevance_topk, RELEVANCE_TOPK),
     "signal_dedupe_max": (signal_dedupe_max, SIGNAL_DEDUPE),
+    "full_ranking": (full_ranking, None),
+    "packed_ranges": (packed_ranges, None),
     "range_allocation": (range_allocation, None),
     "exact_symbol_join": (exact_symbol_join, EXACT_SYMBOL),
     "lexical_family_join": (lexical_family_join, LEXICAL_FAMILY),
