@@ -5,7 +5,7 @@ for each order: a row has the gram's log-probability in every language, so one b
 serves all of them. A text gets the language of least cross-entropy a character, and is rejected
 if that lies far beyond what texts of its language and length reach that were kept out of the
 counts: SPREADS times as far above their median as their ninth decile is, and above all but one in
-200 of them. Neither moves for a few odd or mislabelled texts.
+200 of them, and at least LEAST_FACTOR times the median. Neither moves for a few odd or mislabelled texts.
 
 Counting runs on a bounded sample of labelled texts (whole texts, chosen by hash): MAX_TRAIN_CHARS
 for each language, less where there are so many languages that MODEL_CELLS is passed. A character
@@ -29,6 +29,8 @@ MAX_TRAIN_CHARS = 2_000_000
 MODEL_CELLS = 1 << 26
 #: A text is rejected beyond so many times the calibration texts' distance from median to ninth decile.
 SPREADS = 6.0
+#: No text is rejected below so many times the median: mixed languages and inserted passages stay.
+LEAST_FACTOR = 1.6
 #: Lengths in characters from which on texts are compared with each other.
 BANDS = (1, 20, 50, 200, 1000)
 #: A language's texts of a band speak for themselves from this number on; else all languages' do. Their tail counts from FULL_BAND on.
@@ -252,7 +254,7 @@ def limits_from(languages: list[str], found: list[dict]) -> np.ndarray:
             middle = row["q"][0] if own else middles.get(language, max(middles.values(), default=np.nan))
             spread = max(row["q"][1] - row["q"][0], 0.02) if own else shared[b]
             if not np.isnan(middle + spread):
-                out[i, b] = middle + SPREADS * spread
+                out[i, b] = max(middle + SPREADS * spread, LEAST_FACTOR * middle)
                 if own and row["n"] >= FULL_BAND:
                     out[i, b] = max(out[i, b], row["q"][2])
     return out

@@ -89,8 +89,11 @@ def test_junk_is_rejected_whatever_a_few_odd_rows_say_and_clean_texts_stay(spark
 
 def test_limits_of_languages_with_few_texts_come_from_the_others():
     rows = [{"lang": "a", "band": 2, "n": 500, "q": [2.0, 2.1, 2.3]}, {"lang": "b", "band": 2, "n": 3, "q": [3.0, 9.0, 9.0]}]
+    wide = [{"lang": "a", "band": 2, "n": 2000, "q": [2.0, 2.4, 4.9]}]
+    assert language_id.limits_from(["a"], wide)[0, 2] == pytest.approx(4.9)
+    assert language_id.limits_from(["a"], [{**wide[0], "n": 500}])[0, 2] == pytest.approx(4.4)
     limits = language_id.limits_from(["a", "b", "c"], rows)
-    assert limits[:, 2] == pytest.approx([2.6, 3.6, 3.6]) and limits[0, 0] == pytest.approx(2.6)
+    assert limits[:, 2] == pytest.approx([3.2, 4.8, 4.8]) and limits[0, 0] == pytest.approx(3.2)
     assert np.isinf(language_id.limits_from(["a"], [])).all()
 
 
