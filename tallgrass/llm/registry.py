@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, lm_scoring, mixing, sentencepiece_codec, simhash, sketch, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, language_id, lm_scoring, merkle, mixing, sentencepiece_codec, simhash, sketch, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": sketch.op8_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 SQL = {
