@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, lm_scoring, merkle, mixing, sentencepiece_codec, simhash, sketch, suffix_dedup, token_counts, toxicity
+from . import (
+    exact_dedup,
+    language_id,
+    lm_scoring,
+    merkle,
+    mixing,
+    sentencepiece_codec,
+    simhash,
+    sketch,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    warc,
+    whitening,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,9 +30,12 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_merkle": merkle.op11_merkle,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_warc": warc.op13_warc,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op13_warc": warc.SQL,
 }
