@@ -306,10 +306,10 @@ def manifest(leaves: DataFrame, block_height: int = BLOCK_HEIGHT) -> tuple[list[
                 F.lit("").alias("tree"), no_key.alias("key"), F.encode("tree", "utf-8").alias("leaf"),
                 F.col("root").alias("claim"), F.lit(0).cast("long").alias("salt"),
             )
-        ).select(F.decode("leaf", "utf-8").alias("of_tree"), "pos", F.col("claim").alias("leaf"))
+        ).select("tree", F.decode("leaf", "utf-8").alias("of_tree"), "pos", F.col("claim").alias("leaf"))
     )
     top = build_tiers(
-        ranked.select(F.lit("").alias("tree"), "pos", "leaf", no_key.alias("key"), F.lit(None).cast("binary").alias("claim")),
+        ranked.select("tree", "pos", "leaf", no_key.alias("key"), F.lit(None).cast("binary").alias("claim")),
         block_height,
     )
     return tiers, top, ranked
@@ -402,3 +402,78 @@ def document_leaves(docs: DataFrame, altered: Column | None = None) -> DataFrame
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its leaf, proof and check; every seventh by crc32 is checked against a changed n_chars."""
     return proofs(document_leaves(common.documents(spark, sf_dir), tampered()))
+
+
+SQL = """
+WITH RECURSIVE
+fields AS (
+    SELECT doc_id, lang, n_chars,
+           CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+           || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+           || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+           CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+           CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree,
+           -- crc32 of the decimal doc_id, bit by bit
+           xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+               lambda crc, b: list_reduce(range(8),
+                   lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, b)),
+               CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc
+    FROM documents
+),
+leaves AS (
+    SELECT doc_id, tree,
+           sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || tail) AS leaf,
+           CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL
+                THEN sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS claim
+    FROM fields
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+),
+low AS (
+    SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM ranked
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2)
+    FROM low WHERE n > 1 GROUP BY tree, level, pos // 2
+),
+subroots AS (
+    SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM low WHERE n = 1
+),
+high AS (
+    SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2)
+    FROM high WHERE n > 1 GROUP BY level, pos // 2
+),
+in_low AS (
+    SELECT r.tree, r.pos AS leaf_pos, 0 AS level, r.pos, coalesce(r.claim, r.leaf) AS folded, '' AS proof FROM ranked r
+    UNION ALL
+    SELECT i.tree, i.leaf_pos, i.level + 1, i.pos // 2,
+           sha256(CASE WHEN i.pos % 2 = 1 THEN coalesce(s.h, '') || i.folded ELSE i.folded || coalesce(s.h, '') END),
+           i.proof || coalesce(s.h, '')
+    FROM in_low i
+    JOIN low own ON own.tree = i.tree AND own.level = i.level AND own.pos = i.pos AND own.n > 1
+    LEFT JOIN low s ON s.tree = i.tree AND s.level = i.level AND s.pos = xor(i.pos, 1)
+),
+at_subroot AS (
+    SELECT i.tree, i.leaf_pos, i.folded, i.proof, s.pos, s.subroot
+    FROM in_low i JOIN low own ON own.tree = i.tree AND own.level = i.level AND own.n = 1
+    JOIN subroots s ON s.tree = i.tree
+),
+in_high AS (
+    SELECT tree, leaf_pos, 0 AS level, pos, folded, proof FROM at_subroot
+    UNION ALL
+    SELECT i.tree, i.leaf_pos, i.level + 1, i.pos // 2,
+           sha256(CASE WHEN i.pos % 2 = 1 THEN coalesce(s.h, '') || i.folded ELSE i.folded || coalesce(s.h, '') END),
+           i.proof || coalesce(s.h, '')
+    FROM in_high i
+    JOIN high own ON own.level = i.level AND own.pos = i.pos AND own.n > 1
+    LEFT JOIN high s ON s.level = i.level AND s.pos = xor(i.pos, 1)
+)
+SELECT r.doc_id, r.leaf, s.subroot, top.h AS root, sha256(i.proof) AS proof_sha256, i.folded AS folded_root,
+       i.folded = top.h AS verified
+FROM ranked r
+JOIN subroots s ON s.tree = r.tree
+JOIN high top ON top.n = 1
+JOIN in_high i ON i.tree = r.tree AND i.leaf_pos = r.pos AND i.level = top.level
+"""

@@ -37,5 +37,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_merkle": merkle.SQL,
     "op13_warc": warc.SQL,
 }
