@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge(ranges: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
-    """Intervals of a key that overlap, or lie at most gap apart, become one; n_merged counts its members."""
+def merge(ranges: DataFrame, keys: list[str], gap: int = 0, any_of: list[str] | None = None) -> DataFrame:
+    """Intervals of a key that overlap, or lie at most gap apart, become one; n_merged counts its members.
+
+    A column of any_of is true if it is for any of them.
+    """
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("start") <= reach + gap + 1, 0).otherwise(1)
     island = ranges.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order))
     return island.groupBy(*keys, "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged")
-    ).drop("island")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"),
+        *(F.bool_or(c).alias(c) for c in any_of or []),
+    ).drop("island")
 
 
 def complement(merged: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,16 +46,22 @@ def covered(merged: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     return counted.withColumn("status", status)
 
 
-def promoted(merged: DataFrame, lengths: DataFrame, keys: list[str], share: float = 0.75) -> DataFrame:
-    """Merged ranges of a key; where they cover share of its length or more, the whole of it instead."""
-    total = F.sum(F.col("end") - F.col("start") + 1).over(Window.partitionBy(*keys))
-    marked = merged.select(*keys, "start", "end").withColumn("total", total).join(lengths, keys)
+def promoted(merged: DataFrame, lengths: DataFrame, keys: list[str], share: float = 0.75, any_of: list[str] | None = None) -> DataFrame:
+    """Merged ranges of a key; where they cover share of its length or more, the whole of it instead.
+
+    A column of any_of is true for the whole if it is for any range.
+    """
+    of_key = Window.partitionBy(*keys)
+    total = F.sum(F.col("end") - F.col("start") + 1).over(of_key)
+    anywhere = {f"any_{c}": F.bool_or(c).over(of_key) for c in any_of or []}
+    marked = merged.select(*keys, "start", "end", *(any_of or [])).withColumn("total", total).withColumns(anywhere).join(lengths, keys)
     whole = F.col("total") >= F.col("length") * share
     return marked.select(
         *keys,
         F.when(whole, F.lit(1)).otherwise(F.col("start")).cast("long").alias("start"),
         F.when(whole, F.col("length")).otherwise(F.col("end")).cast("long").alias("end"),
         F.when(whole, "full_file").otherwise("range").alias("kind"),
+        *(F.when(whole, F.col(f"any_{c}")).otherwise(F.col(c)).alias(c) for c in any_of or []),
     ).distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import intervals, windows
+from . import affinity, allocation, intervals
 
 KEYS = ["query_id", "path"]
 #: Lines of a file's opening that stand for a file without a matched symbol.
@@ -42,27 +42,70 @@ def excerpts(ranges: DataFrame, files: DataFrame) -> DataFrame:
     return cut.withColumn("tokens", T.token_estimate("excerpt"))
 
 
-def pack(ranked: DataFrame, symbols: DataFrame, files: DataFrame, budget: int = 6000, gap: int = 2) -> DataFrame:
-    """Excerpts of each query with whether the budget takes them.
+def pack(
+    ranked: DataFrame, symbols: DataFrame, files: DataFrame, budget: int = 6000, gap: int = 2,
+    edges: DataFrame | None = None, forced: DataFrame | None = None, depth_limit: int | None = None,
+) -> DataFrame:
+    """Excerpts of each query with whether the budget takes them, and phase, place and reason of the choice.
 
-    Near ranges of a file are merged, and one that covers most of a file becomes the whole. Ranges
-    of explicitly named files are required and always taken; the others follow by score and are
-    skipped where they do not fit.
+    Near ranges of a file are merged, and one that covers most of a file becomes the whole. The choice is that of
+    `allocation`: required ranges (of explicitly named files, and those in forced) always, the others by evidence for
+    their cost, inside the cluster that `affinity` finds where edges are given. The budget holds for the pack as
+    `rendered` prints it: where headings push it over, it is packed again under a smaller budget, so only required
+    ranges alone can exceed it.
+
+    ranked: (query_id, path, rank, score, role, signals); files: (path, text, line_count) and is_test if there is one;
+    forced: (query_id, path, start, end), ranges of any file that have to be in. Files without text have no ranges.
     """
     lengths = files.select("path", F.col("line_count").cast("long").alias("length"))
-    merged = intervals.merge(proposals(ranked, symbols, files), KEYS, gap)
-    whole = ranked.select(*KEYS).join(lengths, "path")
-    chosen = excerpts(intervals.promoted(merged, whole, KEYS), files)
-    required = F.exists("signals", lambda s: s["kind"].isin("explicit_path", "trace_path"))
-    weight = F.col("score") + F.when(required, REQUIRED).otherwise(0.0) + F.when(F.col("role") == "PRIMARY", PRIMARY).otherwise(0.0)
-    priced = chosen.join(ranked.select(*KEYS, required.alias("required"), (-weight).alias("priority")), KEYS)
-    must = priced.where("required").groupBy("query_id").agg(F.sum("tokens").alias("fixed"))
-    charge = must.select("query_id", F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("start"), F.least("fixed", F.lit(budget)).alias("tokens"), F.lit(float("-inf")).alias("priority"))
-    queue = priced.where("not required").select("query_id", "path", "start", "tokens", "priority").unionByName(charge)
-    folded = windows.first_fit(queue, ["query_id"], "tokens", ["priority", "path", "start"], budget)
-    taken = folded.where("path is not null").select(*KEYS, "start", "taken")
-    joined = priced.join(taken, [*KEYS, "start"], "left")
-    return joined.withColumn("taken", F.col("required") | F.coalesce("taken", F.lit(False)))
+    proposed = proposals(ranked, symbols, files).withColumn("must", F.lit(False))
+    if forced is not None:
+        inside = forced.join(lengths, "path").where("start <= length").select(
+            *KEYS, F.greatest(F.lit(1), "start").cast("long").alias("start"),
+            F.least("length", "end").cast("long").alias("end"), F.lit(True).alias("must"),
+        )
+        proposed = proposed.unionByName(inside)
+    merged = intervals.merge(proposed, KEYS, gap, any_of=["must"])
+    whole = proposed.select(*KEYS).distinct().join(lengths, "path")
+    chosen = excerpts(intervals.promoted(merged, whole, KEYS, any_of=["must"]), files)
+    named = F.exists("signals", lambda s: s["kind"].isin("explicit_path", "trace_path"))
+    about = ranked.select(*KEYS, "score", "role", "signals", named.alias("named"))
+    priced = chosen.join(about, KEYS, "left").withColumn("required", F.col("must") | F.coalesce("named", F.lit(False)))
+    weight = F.coalesce("score", F.lit(0.0)) + F.when(F.col("required"), REQUIRED).otherwise(0.0)
+    weight += F.when(F.col("role") == "PRIMARY", PRIMARY).otherwise(0.0)
+    priced = priced.withColumn("priority", -weight).drop("must", "named")
+    tests = files.select("path", "is_test") if "is_test" in files.columns else files.select("path", F.lit(False).alias("is_test"))
+    if edges is None:
+        pinned = F.exists("signals", lambda s: s["kind"].isin(*affinity.NAMED))
+        cluster = ranked.select(*KEYS, pinned.alias("anchor"), F.lit(True).alias("affinity"))
+    else:
+        cluster = affinity.clusters(ranked, tests, edges)
+    ranges = priced.join(cluster, KEYS, "left").join(tests.dropDuplicates(["path"]), "path", "left").select(
+        *KEYS, "start", "end", F.col("tokens").alias("cost"), _printed_bytes().alias("bytes"), "required",
+        F.coalesce("anchor", F.lit(False)).alias("anchor"), F.coalesce("is_test", F.lit(False)).alias("is_test"),
+        F.coalesce("affinity", F.lit(False)).alias("affinity"), "score", allocation.matches(ranked).alias("signals"),
+    )
+    decided = allocation.allocate(ranges, budget, depth_limit=depth_limit, fit=True)
+    joined = priced.drop("signals", "role").join(decided.drop("cost"), [*KEYS, "start", "end"])
+    return joined.withColumn("taken", F.col("phase").isNotNull())
+
+
+def _heading() -> Column:
+    return F.format_string("## %s:%d-%d\n", "path", "start", "end")
+
+
+def _printed_bytes() -> Column:
+    """Bytes of an excerpt as `rendered` prints it, its line end included."""
+    return (F.octet_length(_heading()) + F.octet_length("excerpt") + 1).cast("long")
+
+
+def rendered(packed: DataFrame) -> DataFrame:
+    """Each query's taken excerpts as one text, those of highest priority first, and its token estimate."""
+    part = F.concat(_heading(), "excerpt", F.lit("\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("priority", "path", "start", part.alias("part"))))
+    texts = packed.where("taken").groupBy("query_id").agg(ordered.alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
+    return texts.select("query_id", text.alias("text")).withColumn("tokens", T.token_estimate("text"))
 
 
 def locator(packed: DataFrame) -> DataFrame:
