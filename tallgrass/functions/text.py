@@ -23,11 +23,17 @@ LANGUAGES = {
 REDACTED = "[REDACTED]"
 
 #: Category and pattern of what is redacted, in the order of application. No lookaround: any regex engine takes them.
+#: A key runs to its END line, or to the end of the text if there is none. A name may have any beginning (db_password),
+#: but nothing after it (token_count); a bare value is a word with a letter, or a number of four digits or more.
 SECRETS = (
-    ("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"),
-    ("credential URL", r"[a-z][a-z0-9+.]*://[^\s/:@]+:[^\s/@]+@"),
-    ("bearer token", r"[Bb]earer +[A-Za-z0-9._~+/-]{8,}=*"),
-    ("assigned secret", r"\b(?i:password|passwd|secret|api_key|apikey|access_key|token) *[=:] *(?:\"[^\"\n]+\"|'[^'\n]+'|[A-Za-z0-9_/+.-]*[A-Za-z][A-Za-z0-9_/+.-]*)"),
+    ("private key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----[\s\S]*?(-----END [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----|\z)"),
+    ("credential URL", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]*:[^\s/@]+@"),
+    ("bearer token", r"(?i:bearer)\s+[A-Za-z0-9._~+/-]{8,}=*"),
+    (
+        "assigned secret",
+        r"\b[A-Za-z0-9_]*(?i:password|passwd|secret|api_key|apikey|access_key|token)[\"']?[ \t]*[=:][ \t]*"
+        r"(\"[^\"\n]+\"|'[^'\n]+'|[A-Za-z0-9_/+.-]*[A-Za-z][A-Za-z0-9_/+.-]*|[0-9]{4,})",
+    ),
 )
 
 # Where camel case is cut, and what an identifier is.

@@ -253,17 +253,34 @@ def secret_redaction(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CASES = ",\n         ".join(f"CASE WHEN regexp_matches(text, $re${p}$re$) THEN '{c}' END" for c, p in text.SECRETS)
-# Each private key by the marker and as many line ends as it had; then the other rules.
-_KEYS = f"list_distinct(regexp_extract_all(text, $re${text.SECRETS[0][1]}$re$))"
-_CLEAN = f"""list_reduce(list_prepend(text, {_KEYS}),
-         lambda rest, key: replace(rest, key, '{text.REDACTED}' || repeat(chr(10), len(key) - len(replace(key, chr(10), '')))))"""
-for _category, _pattern in text.SECRETS[1:]:
+# The rules once more, in SQL's own words: keys are cut out by splitting at their BEGIN lines, not by one pattern.
+_KEY_HEAD = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_KEY_TAIL = "-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_RULES = {
+    "credential URL": "[[:alpha:]][[:alnum:]+.-]*://[^[:space:]/:@]*:[^[:space:]/@]+@",
+    "bearer token": "[Bb][Ee][Aa][Rr][Ee][Rr][[:space:]]+[[:alnum:]._~+/-]{8,}=*",
+    "assigned secret": (
+        "(?i:[[:word:]]*(?:password|passwd|secret|api_?key|access_key|token))[\"']?[ \\t]*[=:][ \\t]*"
+        "(?:\"[^\"\\n]+\"|'[^'\\n]+'|[[:word:]/+.-]*[[:alpha:]][[:word:]/+.-]*|[[:digit:]]{4,})"
+    ),
+}
+_CLEAN = "whole"
+for _pattern in _RULES.values():
     _CLEAN = f"regexp_replace({_CLEAN}, $re${_pattern}$re$, '{text.REDACTED}', 'g')"
+_CASES = ", ".join(f"CASE WHEN regexp_matches(text, $re${p}$re$) THEN '{c}' END" for c, p in _RULES.items())
 SECRET_REDACTION = f"""
+WITH pieces AS (
+  SELECT doc_id, text, regexp_extract_all(text, $re${_KEY_HEAD}$re$) AS heads, regexp_split_to_array(text, $re${_KEY_HEAD}$re$) AS parts FROM documents),
+-- A part after a head is a key up to its END line; without one, so is the rest of the text.
+open AS (
+  SELECT doc_id, text, parts[1] AS start, heads, list_transform(parts[2:], lambda p: regexp_extract(p, $re$^[\\s\\S]*?{_KEY_TAIL}$re$)) AS closed, parts[2:] AS rest FROM pieces),
+joined AS (
+  SELECT doc_id, text, start || array_to_string(list_transform(range(1, len(rest) + 1), lambda i:
+    '{text.REDACTED}' || repeat(chr(10), len(CASE WHEN closed[i] = '' THEN rest[i] ELSE closed[i] END) - len(replace(CASE WHEN closed[i] = '' THEN rest[i] ELSE closed[i] END, chr(10), '')))
+    || CASE WHEN closed[i] = '' THEN '' ELSE rest[i][len(closed[i]) + 1:] END), '') AS whole, len(heads) > 0 AS has_key FROM open)
 SELECT doc_id, sha256({_CLEAN}) AS sha256,
-       array_to_string(list_sort(list_filter([{_CASES}], lambda x: x IS NOT NULL)), ',') AS categories
-FROM documents
+       array_to_string(list_sort(list_filter([CASE WHEN has_key THEN 'private key' END, {_CASES}], lambda x: x IS NOT NULL)), ',') AS categories
+FROM joined
 """
 
 

@@ -53,6 +53,30 @@ def test_every_private_key_is_redacted(spark):
     assert clean.split("\n")[0] == "one" and clean.split("\n")[-1] == "rest" and clean.count("\n") == raw.count("\n")
 
 
+@pytest.mark.parametrize("secret, hidden", [
+    ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nqwe\n-----END RSA PRIVATE KEY-----\nafter", "DEK-Info 0A1B qwe"),
+    ("-----BEGIN PRIVATE KEY-----\ncut off\nhere", "cut here"),
+    ("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n-----END PGP PRIVATE KEY BLOCK-----", "Version"),
+    ("db_password = hunter2abc\nx", "hunter2abc"),
+    ("AWS_SECRET_ACCESS_KEY=abcDEF", "abcDEF"),
+    ("PASSWORD: 12345678", "12345678"),
+    ('{"api_key": "s3 cr et"}', "s3 cr"),
+    ("GITHUB_TOKEN='a b'", "a b"),
+    ("authorization: BEARER abcdefgh.12345", "abcdefgh"),
+    ("redis://:hunter2@host/0", "hunter2"),
+])
+def test_forms_of_secrets(spark, secret, hidden):
+    clean = one(spark, text.redacted("t"), t=secret)
+    assert text.REDACTED in clean and not any(h in clean for h in hidden.split())
+    assert clean.count("\n") == secret.count("\n") and ("after" in clean) == ("after" in secret)
+
+
+def test_what_is_no_secret_stays(spark):
+    plain = "token_count = 3\npassword_hash = hash_password(value)\ntoken = 3\nsecrets.choice(x)\npasswords: \nbearer of news\nPRIVATE KEY"
+    assert one(spark, text.redacted("t"), t=plain) == plain
+    assert one(spark, text.secret_categories("t"), t=plain) == []
+
+
 def test_family_and_prefix(spark):
     assert one(spark, text.common_prefix_length("a", "b"), a="authenticate", b="authentication") == 11
     assert one(spark, text.is_family("a", "b"), a="authenticate", b="authentication")
@@ -192,6 +216,54 @@ def test_scan_classifies_files(scanned):
     assert {p: r.line_count for p, r in found.items() if r.kind == "text"} == {p: len(SOURCES[p].splitlines()) for p in found if p != "image.png"}
 
 
+def test_symbols_in_every_block():
+    source = """
+LIMIT, low = 1, 2
+SIZE: int = 3
+class A:
+    INNER = 1
+    @property
+    def name(self):
+        def helper(): pass
+for i in x:
+    def in_for(): pass
+else:
+    import in_else
+while x:
+    class InWhile:
+        async def run(self): pass
+match x:
+    case 1:
+        def in_case(): pass
+async def outer():
+    async with a:
+        from b import c
+    async for y in z:
+        def in_async_for(): pass
+try:
+    import one
+except E:
+    import two
+else:
+    import three
+finally:
+    import four
+with a:
+    WITHIN = 1
+"""
+    found, imported, error = files._symbols("p", source)
+    assert error is None
+    kinds = {s[2]: s[3] for s in found}
+    assert kinds == {
+        "LIMIT": "constant", "SIZE": "constant", "WITHIN": "constant", "A": "class", "A.name": "method", "A.name.helper": "function",
+        "in_for": "function", "InWhile": "class", "InWhile.run": "method", "in_case": "function", "outer": "function",
+        "outer.in_async_for": "function",
+    }
+    assert [(i[1], i[2]) for i in imported] == [("in_else", None), ("b", "c"), ("one", None), ("two", None), ("three", None), ("four", None)]
+    assert [s[6] for s in found if s[2] == "A.name.helper"] == ["A.name"]
+    assert files._symbols("p", "def broken(:")[2] and files._symbols("p", "x\0")[2]
+
+
 def test_symbols_imports_and_edges(spark, scanned):
     found = values(files.symbols(scanned).where("path = 'app/auth.py'"), "qualified_name", "kind", "start_line", "end_line", "is_async")
     assert found == [
