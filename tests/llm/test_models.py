@@ -189,12 +189,12 @@ def test_lm_slices_of_a_chunk_ask_as_the_whole(monkeypatch):
     assert Counter(map(str, lm_scoring._ask(blob).to_pylist())) == Counter(map(str, whole.to_pylist()))
 
 
-def slow_slots(before, word, last, table_bits):
-    """The slots of all contexts after the bytes before, the word so far and the word before it."""
+def slow_slots(before, word, short, last, table_bits):
+    """The slots of all contexts after the bytes before, the word so far, the last short word and the word before it."""
     top, base = 1 << 64, 0x9E3779B97F4A7C15
     keys = [int.from_bytes(before[-n:], "little") for n in lm_scoring.ORDERS]
-    sums = [sum((b + 1) * pow(base, i, top) for i, b in enumerate(w)) % top for w in (word, last)]
-    keys += [sums[0], (sums[0] + 0xD6E8FEB86659FD93 * (sums[1] + 1)) % top]
+    sums = [sum((b + 1) * pow(base, i, top) for i, b in enumerate(w)) % top for w in (word, short, last)]
+    keys += [sums[0], (sums[0] + 0xA0761D6478BD642F * (sums[1] + 1)) % top, (sums[0] + 0xD6E8FEB86659FD93 * (sums[2] + 1)) % top]
     out = []
     for k, key in enumerate(keys, 1):
         key = ((key ^ key >> 32) + k) * 0x94D049BB133111EB % top
@@ -206,10 +206,10 @@ def slow_slots(before, word, last, table_bits):
 def slow_coder(text, model, table_bits):
     """log10 of a coded text's probability, one bit after the other."""
     m, code = lm_scoring, model.code
-    total, count, word, last = 0.0, 0, b"", b""
+    total, count, word, short, last = 0.0, 0, b"", b"", b""
     for i, byte in enumerate(text):
         before = (b"\n" * 8 + text[:i])[-8:]
-        slots, pair = slow_slots(before, word, last, table_bits), before[-1] * 256 + byte
+        slots, pair = slow_slots(before, word, short, last, table_bits), before[-1] * 256 + byte
         path = range(code.offsets[pair], code.offsets[pair] + code.lengths[pair])
         for node, bit in zip(code.nodes[path].tolist(), code.bits[path].tolist(), strict=True):
             if count % m.SEGMENT == 0:
@@ -226,6 +226,7 @@ def slow_coder(text, model, table_bits):
             refined[step] += (bit - refined[step]) * m.REFINE_RATE
             own = [w + m.RATE * (bit - p) * v for w, v in zip(own, x, strict=True)]
         if byte in (m.SPACE, m.END):
+            short = word if 0 < len(word) <= m.SHORT else short
             word, last = b"", word
         else:
             word += bytes([byte])
@@ -260,13 +261,14 @@ def test_counts_are_those_of_every_bit_of_every_text():
     model, coded, learner = small_model(texts)
     counts = [np.zeros_like(c) for c in learner.counts]
     for text in coded:
-        word = last = b""
+        word = short = last = b""
         for i, byte in enumerate(text):
             before = (b"\n" * 8 + text[:i])[-8:]
             pair = before[-1] * 256 + byte
             for j in range(model.code.offsets[pair], model.code.offsets[pair] + model.code.lengths[pair]):
-                for k, slot in enumerate(slow_slots(before, word, last, 16)):
+                for k, slot in enumerate(slow_slots(before, word, short, last, 16)):
                     counts[k][slot ^ int(model.code.nodes[j]), model.code.bits[j]] += 1
+            short = word if byte in (lm_scoring.SPACE, lm_scoring.END) and 0 < len(word) <= lm_scoring.SHORT else short
             word, last = (b"", word) if byte in (lm_scoring.SPACE, lm_scoring.END) else (word + bytes([byte]), last)
     assert all((a == b).all() for a, b in zip(counts, learner.counts, strict=True))
 
@@ -316,8 +318,11 @@ def test_held_out_documents_are_better_mixed_than_counted(monkeypatch):
     base = sum(log10((counts[w] + 1) / (n + kinds + 1)) for ws in other for w in [*ws, b""])
     model, _, _ = small_model([" ".join(w.decode() for w in ws) for ws, h in zip(words, held, strict=True) if not h], lm_scoring.TABLE_BITS)
     texts = [lm_scoring.coded(ws) for ws in other]
-    mixed = model.log10(texts).sum()
-    assert mixed > base
+    each = model.log10(texts)
+    mixed = each.sum()
+    assert mixed > 0.95 * base
+    single = [sum(log10((counts[w] + 1) / (n + kinds + 1)) for w in [*ws, b""]) for ws in other]
+    assert (each >= np.array(single)).mean() >= 0.5
     monkeypatch.setattr(lm_scoring, "RATE", 0.0)
     monkeypatch.setattr(lm_scoring, "REFINE_RATE", 0.0)
     frozen = model.log10(texts).sum()
@@ -500,3 +505,22 @@ def test_next_document_in_falling_order(spark, parts):
         prints = ["".join(f"{h:016x}" for h in sorted(s)) for s in sets[:2]]
         expected[r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints, *shares] += 1
     assert Counter(tuple(r) for r in found) == expected
+
+
+def test_counts_of_tasks_add_up_beyond_32_bits(spark, monkeypatch):
+    texts = [sentences(i, 12) for i in range(30)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    pairs = lm_scoring.pairs_in(np.frombuffer(b"".join(lm_scoring.coded(common.words_of(t)) for t in texts), np.uint8))
+    code = lm_scoring.Code.of(pairs)
+    whole = lm_scoring.learned(frame, code, 16, 1)
+    learner = lm_scoring.Learner(code, 16)
+    learner.add([lm_scoring.coded(common.words_of(t)) for t in texts[:5]])
+    learner.close()
+    before = [c.copy() for c in learner.handed_on()]
+    assert learner.counted == 0 and not any(c.any() for c in learner.counts) and any(c.any() for c in before)
+    monkeypatch.setattr(lm_scoring, "FULL", 1000)
+    # Handing on in parts changes weights that are learned in between, never the sums.
+    parts = lm_scoring.learned(frame, code, 16, 1)
+    assert all((a == b).all() for a, b in zip(whole.odds, parts.odds, strict=True))
+    most = np.array([[0, 2**32 - 2]] * 2, np.uint32).astype(np.int64).sum(axis=0)
+    assert most[1] == 2 * (2**32 - 2) and lm_scoring.stored_odds(np.array([most]))[0] >> 2 == round(lm_scoring.MOST * lm_scoring.SCALE / 4)
