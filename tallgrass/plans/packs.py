@@ -1,12 +1,12 @@
-"""Queries that grow clusters and packs."""
+"""Queries that grow clusters and packs, choose, and take digests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import affinity, expansion, packing, relevance
+from ..functions import canonical, text
+from ..operators import affinity, choices, expansion, packing, relevance, trees
 from ..operators.storage import stored
 from ..sources.tables import table
 from .retrieval import _part_signals, sql_terms
@@ -176,8 +176,72 @@ def pack_generations(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("query_id", "generation", "path", "start", "end", F.sha2("excerpt", 256).alias("sha256"))
 
 
+def _document_tree(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return table(spark, sf, "documents").select(path.alias("path"), F.sha2("text", 256).alias("sha256"))
+
+
+def tree_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files below folders of source and language: the folders' digests."""
+    return trees.tree_digests(_document_tree(spark, sf)).where("kind = 'folder'").select("path", "digest", "n_files")
+
+
+TREE_DIGESTS = f"""
+WITH files AS (SELECT source, lang, doc_id || '.txt' AS name, sha256(text) AS digest FROM documents),
+sized AS (SELECT *, count(*) OVER (PARTITION BY source, lang) > {trees.WIDE} AS wide FROM files),
+parts AS (
+  SELECT source, lang, CASE WHEN wide THEN sha256(name)[1:{trees.PART_DIGITS}] ELSE '' END AS part, any_value(wide) AS wide, count(*) AS n,
+         sha256(string_agg(name || chr(0) || 'file' || chr(0) || digest, chr(10) ORDER BY name)) AS digest FROM sized GROUP BY ALL),
+langs AS (
+  SELECT source, lang, sum(n)::BIGINT AS n,
+         CASE WHEN any_value(wide) THEN sha256(string_agg(part || chr(0) || 'part' || chr(0) || digest, chr(10) ORDER BY part)) ELSE max(digest) END AS digest
+  FROM parts GROUP BY source, lang),
+sources AS (
+  SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(lang || chr(0) || 'folder' || chr(0) || digest, chr(10) ORDER BY lang)) AS digest FROM langs GROUP BY source)
+SELECT source || '/' || lang AS path, digest, n AS n_files FROM langs
+UNION ALL SELECT source, digest, n FROM sources
+UNION ALL SELECT '', sha256(string_agg(source || chr(0) || 'folder' || chr(0) || digest, chr(10) ORDER BY source)), sum(n)::BIGINT FROM sources
+"""
+
+
+def order_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order with its lines as canonical JSON, whatever order they are read in, and its digest."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_returnflag").alias("flag")))).alias("lines")
+    )
+    rows = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("key"), "lines").alias("o")
+    )
+    return rows.select(F.col("o.key").alias("o_orderkey"), canonical.canonical_digest(F.col("o"), rows.schema["o"].dataType).alias("sha256"))
+
+
+ORDER_DIGESTS = """
+WITH lines AS (
+  SELECT l_orderkey, string_agg('{"flag":"' || l_returnflag || '","l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ','
+                                ORDER BY l_linenumber, l_partkey, l_returnflag) AS body FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, sha256('{"key":' || o_orderkey || ',"lines":' || coalesce('[' || body || ']', 'null') || ',"priority":"' || o_orderpriority || '"}') AS sha256
+FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey
+"""
+
+
+def favourite_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind of event that a user has most often, null where two kinds are equally frequent."""
+    counts = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return choices.unique_best(counts, ["user_id"], "event_type", "n")
+
+
+FAVOURITE_KIND = """
+WITH counts AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
+best AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS most FROM counts)
+SELECT user_id, CASE WHEN count(*) = 1 THEN max(event_type) END AS event_type, any_value(n) AS n FROM best WHERE n = most GROUP BY user_id
+"""
+
+
 PLANS = {
     "affinity_expansion": (affinity_expansion, AFFINITY),
     "expansion_ranges": (expansion_ranges, EXPANSION),
     "pack_generations": (pack_generations, None),
+    "tree_digests": (tree_digests, TREE_DIGESTS),
+    "order_digests": (order_digests, ORDER_DIGESTS),
+    "favourite_kind": (favourite_kind, FAVOURITE_KIND),
 }
