@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import affinity, allocation, intervals
+from .storage import stored
 
 KEYS = ["query_id", "path"]
 #: Lines of a file's opening that stand for a file without a matched symbol.
@@ -73,7 +74,8 @@ def pack(
     priced = chosen.join(about, KEYS, "left").withColumn("required", F.col("must") | F.coalesce("named", F.lit(False)))
     weight = F.coalesce("score", F.lit(0.0)) + F.when(F.col("required"), REQUIRED).otherwise(0.0)
     weight += F.when(F.col("role") == "PRIMARY", PRIMARY).otherwise(0.0)
-    priced = priced.withColumn("priority", -weight).drop("must", "named")
+    # Read for the choice and for the result; texts are cut out once.
+    priced = stored(priced.withColumn("priority", -weight).drop("must", "named"))
     tests = files.select("path", "is_test") if "is_test" in files.columns else files.select("path", F.lit(False).alias("is_test"))
     if edges is None:
         pinned = F.exists("signals", lambda s: s["kind"].isin(*affinity.NAMED))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import allocation, compaction, graph, packing, relevance, snapshots, windows
+from ..operators.storage import stored
 from ..sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -150,7 +151,8 @@ def full_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def packed_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """What a budget takes of the ranges of full_ranking, and what it avoids, for each passage."""
     tree = _tree(spark, sf)
-    return packing.pack_metrics(packing.pack(_ranked(spark, sf, tree), tree[1], tree[0].select("path", "text", "line_count")))
+    ranked = stored(_ranked(spark, sf, tree))  # the pack reads it several times
+    return packing.pack_metrics(packing.pack(ranked, tree[1], tree[0].select("path", "text", "line_count")))
 
 
 def range_allocation(spark: SparkSession, sf: str) -> DataFrame:
