@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import commands as C
 from ..functions import numbers
 from ..functions import text as T
 from . import intervals
@@ -236,18 +237,19 @@ SILENT_FLAGS = ("-l", "--files-with-matches", "-L", "--files-without-match", "-c
 PLAIN_FLAGS = ("-n", "--line-number", "-i", "--ignore-case", "--hidden", "--no-heading", "-F", "--fixed-strings", "--")
 
 
-def searches(commands: DataFrame) -> DataFrame:
+def searches(commands: DataFrame, longest: int | None = None) -> DataFrame:
     """Of rows (run_id, command) those that search: kind, whether lines are printed, targets, and whether all is searched.
 
-    Commands that pipe, chain or redirect are left out. A flag that is not known may take a value, so
+    A shell's own command is looked into, one level deep. Commands that pipe, chain or redirect are left out, as are
+    those of more than longest characters if it is given. A flag that is not known may take a value, so
     after it no word can be told to be a target; such a search has none and does not count as wide.
+    Secrets are redacted in command, and a target that holds one is none.
     """
-    quoted = r"\"[^\"]*\"|'[^']*'"
-    bare = F.regexp_replace("command", quoted, "")
-    tokens = F.regexp_extract_all("command", F.lit(rf"((?:{quoted}|[^\s\"'])+)"), 1)
-    cut = commands.where(~bare.rlike(r"[|;&<>\"']") & (F.length("command") <= 4096)).withColumn("tokens", tokens).where(F.size("tokens") > 0)
-    unquoted = lambda t: F.regexp_replace(t, r"^([\"'])(.*)\1$", "$2")
-    verb = F.regexp_replace(F.lower(F.substring_index(F.replace(unquoted(F.col("tokens")[0]), F.lit("\\"), F.lit("/")), "/", -1)), r"\.exe$", "")
+    run = commands.withColumn("run", C.unwrapped("command")).where(C.is_single("run"))
+    if longest is not None:
+        run = run.where(F.length("command") <= longest)
+    cut = run.withColumn("tokens", C.words("run")).where(F.size("tokens") > 0)
+    unquoted, verb = C.unquoted, C.program(F.col("tokens"))
     args = F.slice("tokens", 2, F.size("tokens"))
     is_git = (verb == "git") & (F.lower(F.col("tokens")[1]) == "grep")
     known = cut.withColumn("verb", F.when(F.get(F.col("tokens"), F.lit(1)).isNotNull() & is_git, "git grep").otherwise(verb))
@@ -273,10 +275,10 @@ def searches(commands: DataFrame) -> DataFrame:
     )
     told = F.col("verb").isin("git grep", "select-string") | (~unsure & (F.size(words) > 0))
     found = known.select(
-        "run_id", "command", F.when(listing, "file_listing_search").otherwise("search").alias("kind"), (prints & ~listing).alias("prints"),
+        "run_id", T.redacted("command").alias("command"), F.when(listing, "file_listing_search").otherwise("search").alias("kind"), (prints & ~listing).alias("prints"),
         F.when(listing, none).otherwise(F.coalesce(F.transform(by_verb, unquoted), none)).alias("targets"), (told & ~listing).alias("told"),
     )
-    clean = F.filter("targets", lambda t: (t != "") & ~t.rlike(r"[*?\[\]$`%\r\n]") & ~t.rlike(r"(^|/)\.\.(/|$)"))
+    clean = F.filter("targets", lambda t: (t != "") & ~t.rlike(r"[*?\[\]$`%\r\n]") & ~t.rlike(r"(^|/)\.\.(/|$)") & (T.redacted(t) == t))
     wide = F.col("told") & ((F.size("targets") == 0) | F.array_contains("targets", "."))
     return found.withColumn("wide", wide).withColumn("targets", F.array_distinct(F.filter(clean, lambda t: t != "."))).drop("told")
 
@@ -297,3 +299,14 @@ def search_summary(found: DataFrame, paths: DataFrame) -> DataFrame:
         F.count_if("wide").alias("repository_wide_searches"), F.count_if(F.col("kind") == "file_listing_search").alias("file_listing_searches"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("named")))).alias("searched_paths"),
     )
+
+
+def read_paths(commands: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
+    """commands (command, ...) with path and place for each different file (path) that one reads by name; others are left out.
+
+    A name counts only if it means a file that is there, below root. place orders the paths of a command: by form, then
+    as they are written. Names are looked up by a join of equality; null commands read nothing.
+    """
+    named = F.array_distinct(F.array_compact(F.transform(C.names_read(F.coalesce(C.unwrapped("command"), "command")), lambda n: C.inside(n, root))))
+    each = commands.select("*", F.posexplode(named).alias("place", "path"))
+    return each.join(files.select("path").distinct(), "path", "left_semi").select(*commands.columns, "place", "path")
