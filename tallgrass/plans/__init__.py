@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals, packs, retrieval, sequences, serving, statistics
+from . import intervals, packs, retrieval, sequences, serving, statistics, studies
 
-MODULES = (retrieval, intervals, sequences, statistics, serving, packs)
+MODULES = (retrieval, intervals, sequences, statistics, serving, packs, studies)
 
 QUERIES = {name: query for m in MODULES for name, (query, _) in m.PLANS.items()}
 SQL = {name: sql for m in MODULES for name, (_, sql) in m.PLANS.items() if sql}
