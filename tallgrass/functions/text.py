@@ -168,5 +168,5 @@ def common_prefix_length(a: Column | str, b: Column | str) -> Column:
 def is_family(a: Column | str, b: Column | str) -> Column:
     """Different words of six letters or more with a common beginning of six, and of 0.7 of the shorter."""
     shorter = F.least(F.length(col(a)), F.length(col(b)))
-    common = common_prefix_length(a, b)
-    return (shorter >= 6) & (col(a) != col(b)) & (common >= 6) & (common >= 0.7 * shorter)
+    share = F.greatest(F.lit(6), F.ceil(0.7 * shorter)).cast("int")
+    return (shorter >= 6) & (col(a) != col(b)) & (F.left(col(a), share) == F.left(col(b), share))

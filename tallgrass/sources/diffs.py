@@ -58,6 +58,34 @@ def diff_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return numbered.where(F.col("kind").isin("+", "-"))
 
 
+def diff_files(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row a file of unified diffs, those without hunks too: key, path, old_path, is_binary, status, hunks and lines.
+
+    old_path is what a rename or copy comes from, else null. Only lines above a file's first hunk are read as headers, so a
+    changed line that looks like one is none. Repeated sections of a path are added up.
+    """
+    lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.col("line")
+    opens = F.when(line.startswith("diff --git "), F.struct(F.col("at").alias("n"), F.regexp_extract("line", r" b/(.*)$", 1).alias("path")))
+    marked = lines.withColumn("file", F.last(opens, ignorenulls=True).over(order)).where("file is not null")
+    section = Window.partitionBy(key, "file.n").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    hunk = line.rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")
+    inside = F.max(hunk.cast("int")).over(section) == 1
+    marked = marked.select(key, F.col("file.path").alias("path"), "line", hunk.alias("hunk"), inside.alias("inside"))
+    head = lambda c: F.coalesce(F.bool_or(~F.col("inside") & c), F.lit(False))
+    moved = F.max(F.when(~F.col("inside"), F.nullif(F.regexp_extract("line", r"^(?:rename|copy) from (.*)$", 1), F.lit(""))))
+    named = (("renamed", "rename from "), ("copied", "copy from "), ("added", "new file mode "), ("deleted", "deleted file mode "))
+    status = F.lit("modified")
+    for name, start in reversed(named):
+        status = F.when(head(line.startswith(start)), name).otherwise(status)
+    signed = lambda c: F.count_if(F.col("inside") & line.startswith(c))
+    return marked.groupBy(key, "path").agg(
+        moved.alias("old_path"), head(line.rlike("^Binary files .* differ$") | line.startswith("GIT binary patch")).alias("is_binary"), status.alias("status"),
+        F.count_if("hunk").alias("n_hunks"), signed("+").alias("n_added"), signed("-").alias("n_removed"),
+    )
+
+
 def affected_symbols(changed: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each added line (path, new_line), the innermost symbol (path, qualified_name, start_line, end_line) that holds it."""
     added = changed.where("new_line is not null").select("path", "new_line")
