@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evidence, studies, telemetry
+from ..functions import text
+from ..operators import diagnostics, evidence, studies, telemetry
+from ..operators.storage import stored
 from ..sources.tables import table
+from .packs import _part_edges
+from .retrieval import _part_signals, range_allocation, sql_terms
 
 
 def command_reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,10 +144,85 @@ SELECT l_suppkey, n_lines, n_returned,
 """
 
 
+def locator_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the best twenty parts for each type rest on; parts are files in a folder a brand, names of theirs are symbols."""
+    parts = table(spark, sf, "part")
+    file = F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
+    files = parts.select(F.col("p_partkey").cast("string").alias("path"), file.alias("file"), "p_type", "p_name", "p_size")
+    words = _part_signals(spark, sf).select("query_id", "path", "kind", "key", "weight", "term")
+    symbol = F.concat(F.lit("symbol:"), "p_name")
+    exact = files.where("p_size % 10 = 0").select(
+        F.col("p_type").alias("query_id"), "path", F.lit("exact_symbol").alias("kind"), symbol.alias("key"), F.lit(95.0).alias("weight"), F.lit(None).cast("string").alias("term")
+    )
+    signals = stored(words.unionByName(exact).join(files.select("path", "file", "p_size"), "path").drop("path").withColumnRenamed("file", "path"))
+    candidates = signals.groupBy("query_id", "path").agg(F.sum("weight").alias("score"), F.first("p_size").alias("p_size"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    ranked = candidates.withColumn("place", place).where("place <= 20")
+    role = F.when(F.col("place") <= 5, "PRIMARY").otherwise("RELATED")
+    selected = ranked.select("query_id", "path", "place", "score", role.alias("role"), (F.col("p_size") % 7 == 0).alias("is_test"))
+    useful = parts.select(F.col("p_type").alias("query_id")).distinct().withColumn("term", F.explode(text.terms("query_id")))
+    symbol_files = parts.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n_files"))
+    named = files.select("path", "file")
+    edges = _part_edges(spark, sf).join(named.toDF("source", "a"), "source").join(named.toDF("target", "b"), "target")
+    edges = edges.select(F.col("a").alias("source"), F.col("b").alias("target"), "kind")
+    return diagnostics.locator(selected, candidates, signals, useful, symbol_files, edges)
+
+
+LOCATOR = f"""
+WITH RECURSIVE f AS (SELECT p_partkey, p_brand || '/' || p_partkey AS path, p_type, p_name, p_size FROM part),
+u AS (SELECT p_type AS query_id, unnest({sql_terms('p_type')}) AS term FROM (SELECT DISTINCT p_type FROM part)),
+wd AS (SELECT path, 'filename_term' AS kind, 28.0::DOUBLE AS weight, unnest({sql_terms('p_name')}) AS term FROM f
+       UNION ALL SELECT path, 'path_term', 8.0::DOUBLE, unnest({sql_terms('p_type')}) FROM f),
+sg AS (SELECT query_id, path, max_by(kind, weight) AS kind, max(weight) AS weight, term FROM u JOIN wd USING (term) GROUP BY query_id, path, term
+       UNION ALL SELECT p_type, path, 'exact_symbol', 95.0::DOUBLE, NULL FROM f WHERE p_size % 10 = 0),
+nm AS (SELECT p_name, count(*) AS n_files FROM part GROUP BY p_name),
+ex AS (SELECT p_type AS query_id, path, n_files FROM f JOIN nm USING (p_name) WHERE p_size % 10 = 0),
+c AS (SELECT query_id, path, sum(weight) AS score FROM sg GROUP BY query_id, path),
+s AS (SELECT query_id, path, score, place, p_size % 7 = 0 AS is_test FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS place FROM c) JOIN f USING (path) WHERE place <= 20),
+pe AS (SELECT s.query_id, s.path, s.place, s.is_test, coalesce(bool_or(kind <> 'path_term'), false) AS direct, coalesce(bool_or(kind = 'path_term'), false) AS weak,
+              coalesce(bool_or(kind = 'filename_term'), false) AS worded, coalesce(any_value(ex.n_files), 0) AS n_files, count(*) AS n_signals
+       FROM s JOIN sg USING (query_id, path) LEFT JOIN ex USING (query_id, path) GROUP BY s.query_id, s.path, s.place, s.is_test),
+pl AS (SELECT *, CASE WHEN n_files = 1 THEN 1 WHEN worded THEN 2 WHEN n_files > 1 THEN 3 WHEN weak THEN 4 ELSE 6 END AS level FROM pe),
+k AS (SELECT query_id, count(*) FILTER (place <= 5) AS n_primary, count(*) FILTER (place > 5) AS n_related, count(*) FILTER (is_test) AS n_test,
+             count(*) FILTER (direct) AS direct_paths, count(*) FILTER (NOT direct) AS weak_only_paths, 0::BIGINT AS graph_expanded,
+             count(*) FILTER (n_files = 1) AS unique_symbol_paths, count(*) FILTER (n_files > 1) AS ambiguous_symbol_paths, count(*) FILTER (n_files > 1) AS ambiguous_only_paths,
+             count(*) FILTER (level = 1) AS very_strong, count(*) FILTER (level = 2) AS strong, count(*) FILTER (level = 3) AS ambiguous_direct,
+             count(*) FILTER (level = 4) AS weak, 0::BIGINT AS graph, count(*) FILTER (level = 6) AS none, sum(n_signals)::BIGINT AS n_signals FROM pl GROUP BY query_id),
+tm AS (SELECT query_id, term, bool_or(kind = 'filename_term') AS direct, min(place) AS first FROM s JOIN sg USING (query_id, path) WHERE term IS NOT NULL GROUP BY query_id, term),
+cv AS (SELECT query_id, count(*) AS n_useful, count(tm.term) AS n_supported, count(*) FILTER (direct) AS n_direct, count(DISTINCT first) AS n_novel_paths
+       FROM (SELECT DISTINCT * FROM u) LEFT JOIN tm USING (query_id, term) GROUP BY query_id),
+ct AS (SELECT query_id, count(*) AS n_candidates, max(score) AS top_score FROM c GROUP BY query_id),
+sc AS (SELECT query_id, n_candidates, top_score, count(*) AS n_selected, quantile_cont(score, 0.5) AS median_score, min(score) AS least_score,
+              count(*) FILTER (score >= top_score * 0.5) / count(*) AS within_50_percent, count(*) FILTER (score >= top_score * 0.75) / count(*) AS within_75_percent,
+              count(*) FILTER (score >= top_score * 90 / 100) / count(*) AS within_90_percent, quantile_cont(score, 0.5) / top_score AS median_to_top
+       FROM s JOIN ct USING (query_id) GROUP BY query_id, n_candidates, top_score),
+fo AS (SELECT query_id, count(*) AS n_folders, count(*) / sum(n)::BIGINT AS dispersion, max(n) / sum(n)::BIGINT AS largest_folder_share
+       FROM (SELECT query_id, split_part(path, '/', 1) AS folder, count(*) AS n FROM s GROUP BY ALL) GROUP BY query_id),
+ln AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
+e AS (SELECT DISTINCT x.path AS a, y.path AS b FROM ln JOIN f x ON x.p_partkey = a JOIN f y ON y.p_partkey = b WHERE ln.a <> ln.b),
+g AS (SELECT query_id, e.a, e.b FROM e JOIN s ON s.path = e.a WHERE (query_id, e.b) IN (SELECT query_id, path FROM s)),
+g2 AS (SELECT query_id, a, b FROM g UNION SELECT query_id, b, a FROM g),
+r(query_id, path, seen) AS (SELECT query_id, path, path FROM s UNION SELECT r.query_id, r.path, g2.b FROM r JOIN g2 ON g2.query_id = r.query_id AND g2.a = r.seen),
+cl AS (SELECT query_id, count(*) AS n_clusters, max(n) / sum(n)::BIGINT AS largest_cluster_share FROM (
+         SELECT query_id, root, count(*) AS n FROM (SELECT query_id, path, min(seen) AS root FROM r GROUP BY ALL) GROUP BY ALL) GROUP BY query_id)
+SELECT sc.*, k.* EXCLUDE query_id, cv.* EXCLUDE query_id, n_supported / n_useful AS coverage, n_direct / n_useful AS direct_coverage, fo.* EXCLUDE query_id, cl.* EXCLUDE query_id,
+       direct_paths / n_selected AS direct_ratio, weak_only_paths / n_selected AS weak_only_ratio, n_novel_paths / n_selected AS novel_path_ratio
+FROM sc JOIN k USING (query_id) JOIN cv USING (query_id) JOIN fo USING (query_id) JOIN cl USING (query_id)
+"""
+
+
+def path_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Why parts were left out of the allocation of their type, path by path."""
+    return diagnostics.path_decisions(range_allocation(spark, sf)).withColumn("phases", F.array_join("phases", ","))
+
+
 PLANS = {
     "command_reads": (command_reads, COMMAND_READS),
     "hash_evidence": (hash_evidence, HASH_EVIDENCE),
     "arm_scores": (arm_scores, ARM_SCORES),
     "leave_one_out": (leave_one_out, LEAVE_ONE_OUT),
+    "locator_diagnostics": (locator_diagnostics, LOCATOR),
+    "path_decisions": (path_decisions, None),
     "supplier_parity": (supplier_parity, SUPPLIER_PARITY),
 }
