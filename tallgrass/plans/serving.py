@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import stats
+from ..operators import serving, stats
 from ..sources.tables import table
 
 BLOCK = 16
@@ -133,11 +133,61 @@ s AS (SELECT conv_id, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) + 1
 SELECT conv_id, max(used) AS peak_blocks, count(*) AS n_samples, max(used)::DOUBLE / 64 AS peak_share FROM s GROUP BY conv_id
 """
 
+
+def suite_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as requests of four cases: a turn is a step, and what opens like an earlier conversation of its case hits the cache."""
+    t = _tokens(spark, sf).withColumn("case", F.col("conv_id") % 4)
+    spoken = F.col("role") == "assistant"
+    sums = lambda c: F.coalesce(F.sum(F.when(c, F.col("tokens"))), F.lit(0)).cast("long")
+    r = t.groupBy("case", "conv_id").agg(
+        F.max_by("role", "turn").alias("last"), sums(~spoken).alias("prompt_tokens"), sums(spoken).alias("output_tokens"), F.count("*").alias("n"),
+        F.sha2(F.min_by("text", "turn"), 256).alias("head"), F.min_by("tokens", "turn").alias("head_tokens"), F.bool_or(spoken).alias("answered"),
+    )
+    first = F.row_number().over(Window.partitionBy("case", "head").orderBy("conv_id")) == 1
+    done = F.col("last") == "assistant"
+    r = r.withColumn("hit", ~first).withColumn("arrival", F.col("conv_id") % 97)
+    begun = F.when(F.col("answered"), F.col("arrival") + F.col("prompt_tokens"))
+    requests = r.select(
+        "case", F.when(done, "COMPLETED").otherwise("FAILED").alias("state"), "arrival", begun.alias("first_token"), F.when(done, begun + F.col("output_tokens")).alias("completion"),
+        "prompt_tokens", "output_tokens", F.when(done, 0).otherwise(F.col("head_tokens")).alias("recomputed_tokens"),
+        F.when(F.col("hit"), numbers.whole_blocks("head_tokens", BLOCK)).otherwise(0).alias("reused_tokens"), F.when(done, 0).otherwise(1).alias("preemptions"),
+    )
+    held = F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("turn"))
+    moment = (F.col("conv_id") * 10 + F.col("turn")).alias("time")
+    samples = t.select("case", moment, numbers.blocks(held, BLOCK).alias("used_blocks"), numbers.blocks("tokens", BLOCK).alias("cached_blocks"), F.lit(256).alias("total_blocks"))
+    steps = t.select("case", moment, F.lit("STEP").alias("kind"))
+    looked = r.select("case", F.col("arrival").alias("time"), F.when(F.col("hit"), "PREFIX_CACHE_HIT").otherwise("PREFIX_CACHE_MISS").alias("kind"))
+    return serving.suite_metrics(requests, samples, steps.unionByName(looked))
+
+
+SUITE_METRICS = _TOKENS + """,
+c AS (SELECT *, conv_id % 4 AS "case" FROM t),
+r AS (SELECT "case", conv_id, max_by(role, turn) = 'assistant' AS done, coalesce(sum(tokens) FILTER (role <> 'assistant'), 0)::BIGINT AS p,
+             coalesce(sum(tokens) FILTER (role = 'assistant'), 0)::BIGINT AS o, sha256(min_by(text, turn)) AS head, min_by(tokens, turn) AS h, bool_or(role = 'assistant') AS answered
+      FROM c GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY "case", head ORDER BY conv_id) > 1 AS hit, conv_id % 97 AS arrival, CASE WHEN answered THEN p END AS ttft,
+             CASE WHEN done AND answered THEN p + o END AS e2e, CASE WHEN done AND answered AND o > 1 THEN o / (o - 1) END AS itl FROM r),
+m AS (SELECT "case", count(*) AS total_requests, count(*) FILTER (done) AS completed_requests, count(*) FILTER (NOT done) AS failed_requests, sum(p)::BIGINT AS prompt_tokens,
+             sum(o)::BIGINT AS output_tokens, sum(CASE WHEN done THEN 0 ELSE h END)::BIGINT AS recomputed_tokens, sum(CASE WHEN hit THEN h // 16 * 16 ELSE 0 END)::BIGINT AS prefix_reused_tokens,
+             count(*) FILTER (NOT done) AS preemption_count, avg(ttft)::DOUBLE AS average_ttft, avg(e2e)::DOUBLE AS average_e2e, avg(itl) AS average_itl,
+             quantile_cont(ttft::DOUBLE, 0.5) AS p50_ttft, quantile_cont(ttft::DOUBLE, 0.95) AS p95_ttft, quantile_cont(ttft::DOUBLE, 0.99) AS p99_ttft,
+             quantile_cont(e2e::DOUBLE, 0.5) AS p50_e2e, quantile_cont(e2e::DOUBLE, 0.95) AS p95_e2e, quantile_cont(e2e::DOUBLE, 0.99) AS p99_e2e,
+             count(*) FILTER (hit) AS prefix_cache_hits, count(*) FILTER (NOT hit) AS prefix_cache_misses, max(arrival) AS latest FROM q GROUP BY "case"),
+u AS (SELECT "case", conv_id * 10 + turn AS time, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) + 15)::BIGINT // 16 AS used, (tokens + 15) // 16 AS cached FROM c),
+k AS (SELECT "case", max_by(used, (time, used)) AS used_blocks, max(used) AS peak_used_blocks, max(cached) AS peak_cached_blocks, count(*) AS iterations, max(time) AS elapsed FROM u GROUP BY "case"),
+a AS (SELECT m.* EXCLUDE latest, k.* EXCLUDE ("case", elapsed), greatest(elapsed, latest)::DOUBLE AS elapsed, prompt_tokens + output_tokens + recomputed_tokens AS processed_tokens
+      FROM m JOIN k USING ("case"))
+SELECT *, prompt_tokens * 1000.0::DOUBLE / elapsed AS prompt_per_second, output_tokens * 1000.0::DOUBLE / elapsed AS output_per_second,
+       processed_tokens * 1000.0::DOUBLE / elapsed AS processed_per_second, used_blocks::DOUBLE / 256 AS used_share, peak_used_blocks::DOUBLE / 256 AS peak_used_share,
+       peak_cached_blocks::DOUBLE / 256 AS peak_cached_share, prefix_cache_hits::DOUBLE / (prefix_cache_hits + prefix_cache_misses) AS prefix_cache_hit_rate FROM a
+"""
+
 PLANS = {
     "request_blocks": (request_blocks, REQUEST_BLOCKS),
     "prefix_reuse": (prefix_reuse, PREFIX_REUSE),
     "step_costs": (step_costs, STEP_COSTS),
     "request_metrics": (request_metrics, REQUEST_METRICS),
     "suite_aggregate": (suite_aggregate, SUITE),
+    "suite_metrics": (suite_metrics, SUITE_METRICS),
     "memory_peaks": (memory_peaks, MEMORY_PEAKS),
 }
