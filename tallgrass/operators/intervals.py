@@ -78,8 +78,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bin_size: i
 
 
 def innermost(pairs: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
-    """Of the intervals paired with each key, the shortest; of equal ones the first by name."""
-    best = F.min_by(F.struct(name, start, end), F.struct(F.col(end) - F.col(start), F.col(name)))
+    """Of the intervals paired with each key, the shortest; of equal ones the first by name (null last), then by start."""
+    order = F.struct(F.col(end) - F.col(start), F.col(name).isNull(), F.col(name), F.col(start))
+    best = F.min_by(F.struct(name, start, end), order)
     return pairs.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 

@@ -131,6 +131,13 @@ def test_merge_with_gap_and_promotion(spark):
     assert values(intervals.promoted(merged, lengths, ["key"]), "start", "end", "kind") == [(1, 12, "full_file")]
 
 
+def test_innermost_breaks_ties_by_name_then_start(spark):
+    rows = [(1, "b", 5, 9), (1, "a", 7, 11), (1, "a", 6, 10), (1, "a", 8, 12), (2, None, 0, 1), (2, "z", 3, 4)]
+    rows += [(3, "n", start, start + 5) for start in range(40, 0, -1)]
+    df = spark.createDataFrame(rows, "key long, name string, start long, end long").repartition(3)
+    assert values(intervals.innermost(df, ["key"], "start", "end", "name"), "key", "name", "start") == [(1, "a", 6), (2, "z", 3), (3, "n", 1)]
+
+
 def test_first_fit_skips_and_goes_on(spark):
     rows = [(1, i, c) for i, c in enumerate([5, 4, 3, 2])] + [(2, 0, 9), (2, 1, None), (2, 2, 8)]
     df = spark.createDataFrame(rows, "key long, n long, cost long")
