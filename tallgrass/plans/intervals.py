@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals, telemetry
+from ..operators.storage import spread
 from ..sources.tables import table
 
 
@@ -155,6 +156,7 @@ def read_coverage(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("path"), line.alias("start"),
         (line + F.col("l_quantity").cast("long") - 1).alias("end"), (F.col("l_returnflag") != "R").alias("success"),
     )
+    deliveries = spread(deliveries, items.count(), "run_id", "path")
     return telemetry.read_coverage(deliveries.select("run_id", "path").distinct(), deliveries, files)
 
 
