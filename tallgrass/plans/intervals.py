@@ -72,9 +72,10 @@ SELECT *, CASE WHEN n_covered >= last - first + 1 THEN 'FULL' WHEN n_covered > 0
 def full_file_promotion(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as files of seven lines, their line items as ranges of one."""
     items = table(spark, sf, "lineitem")
-    line = F.col("l_linenumber").cast("long")
-    ranges = items.select(F.col("l_orderkey").alias("key"), line.alias("start"), line.alias("end")).distinct()
-    lengths = items.groupBy(F.col("l_orderkey").alias("key")).agg((F.max("l_linenumber") + 1).cast("long").alias("length"))
+    lines = items.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("long").alias("start"))
+    lines = spread(lines, items.count(), "key")
+    ranges = lines.distinct().withColumn("end", F.col("start"))
+    lengths = lines.groupBy("key").agg((F.max("start") + 1).alias("length"))
     return intervals.promoted(intervals.merge(ranges, ["key"]), lengths, ["key"])
 
 

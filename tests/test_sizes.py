@@ -22,6 +22,6 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the provided tables")
-@pytest.mark.parametrize("name", ["read_coverage"])
+@pytest.mark.parametrize("name", ["read_coverage", "full_file_promotion"])
 def test_ranges_are_dealt_by_their_keys_to_a_number_that_adaptive_execution_keeps(spark, name):
     assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES[name](spark, SF))
