@@ -11,15 +11,20 @@ from .storage import cut_lineage
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges (source, target) from imports (source, module, name) to modules (module, path).
 
-    Tried are module.name, the module, and its shorter beginnings; the first that exists wins.
+    Tried are module.name, the module, and its shorter beginnings; the first that exists wins. What is
+    imported is resolved once, however many sources import it.
     """
+    asked = imports.select("module", "name").distinct()
     parts = F.split("module", r"\.")
     shorter = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.concat_ws(".", F.slice(parts, 1, n)))
     named = F.when(F.col("name").isNotNull(), F.array(F.concat_ws(".", "module", "name"))).otherwise(F.array().cast("array<string>"))
-    tried = imports.select("source", "module", "name", F.posexplode(F.concat(named, shorter)).alias("place", "candidate"))
+    tried = asked.select("module", "name", F.posexplode(F.concat(named, shorter)).alias("place", "candidate"))
     found = tried.join(modules.select(F.col("module").alias("candidate"), "path"), "candidate")
-    best = found.groupBy("source", "module", "name").agg(F.min_by("path", "place").alias("target"))
-    return best.where("source <> target").select("source", "target").distinct()
+    best = found.groupBy("module", "name").agg(F.min_by("path", "place").alias("target"))
+    # Imports are never the side that is broadcast: one task would then make all edges.
+    best = best.select(F.col("module").alias("of_module"), F.col("name").alias("of_name"), "target").hint("merge")
+    edges = imports.join(best, (F.col("module") == F.col("of_module")) & F.col("name").eqNullSafe(F.col("of_name")))
+    return edges.where("source <> target").select("source", "target").distinct()
 
 
 def test_edges(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tallgrass import plans
-from tallgrass.operators import storage
+from tallgrass.operators import graph, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +25,16 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["read_coverage", "full_file_promotion"])
 def test_ranges_are_dealt_by_their_keys_to_a_number_that_adaptive_execution_keeps(spark, name):
     assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES[name](spark, SF))
+
+
+def test_imports_are_resolved_once_and_never_broadcast(spark):
+    imports = spark.createDataFrame(
+        [*((f"s{i}", "a.b", "c") for i in range(50)), ("t", "a.b", None), ("t", None, "c"), ("u", "a.x", "y"), ("a.py", "a", None), ("v", "z", "q")],
+        "source string, module string, name string",
+    )
+    modules = spark.createDataFrame([("a", "a.py"), ("a.b", "a/b.py"), ("a.b.c", "a/b/c.py")], "module string, path string")
+    edges = graph.resolve_imports(imports, modules)
+    expected = {*((f"s{i}", "a/b/c.py") for i in range(50)), ("t", "a/b.py"), ("u", "a.py")}
+    assert sorted(map(tuple, edges.collect())) == sorted(expected)
+    first = plan_of(edges).split("Scan ExistingRDD[source")[0]
+    assert "SortMergeJoin" in first and "BuildLeft" not in first
