@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .storage import stored
 
 # Kinds of match that speak for a file itself, and those that come from its neighbours.
 DIRECT = ("explicit_path", "trace_path", "exact_symbol", "filename_term", "symbol_term")
@@ -109,8 +110,10 @@ def cluster_spread(selected: DataFrame, edges: DataFrame) -> DataFrame:
     Imports and tests connect, either way. Groups of all queries are found at once, as nodes of query and path.
     """
     own = selected.select("query_id", "path").distinct()
-    links = edges.where(F.col("kind").isin("IMPORTS", "TESTS")).select("source", "target").where("source <> target").distinct()
+    links = edges.where(F.col("kind").isin("IMPORTS", "TESTS")).select("source", "target").where("source <> target")
+    # Edges are read once, and only those between selected paths are compared.
     inside = links.join(own.withColumnRenamed("path", "source"), "source").join(own.withColumnRenamed("path", "target"), ["query_id", "target"])
+    inside = stored(inside.select("query_id", "source", "target").distinct())
     node = lambda c: F.struct("query_id", F.col(c).alias("path"))
     groups = graph.components(inside.select(node("source").alias("source"), node("target").alias("target")))
     labels = groups.select("node.query_id", "node.path", F.col("component.path").alias("cluster"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, text
 from ..operators import affinity, choices, expansion, packing, relevance, trees
-from ..operators.storage import stored
+from ..operators.storage import spread, stored
 from ..sources.tables import table
 from .retrieval import _part_signals, sql_terms
 
@@ -18,9 +18,11 @@ _SPREADS = 8.0
 def _part_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of one order import the part on its next line; small parts test large ones."""
     following = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(following).alias("b"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    n_items = items.count()
+    pairs = spread(items, n_items, "l_orderkey").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(following).alias("b"))
     size = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 7 == 0).alias("is_test"))
-    near = pairs.where("b is not null and a <> b").distinct()
+    near = spread(pairs.where("b is not null and a <> b"), n_items, "a", "b").distinct()
     both = near.join(size.toDF("a", "a_test"), "a").join(size.toDF("b", "b_test"), "b")
     named = both.select(F.col("a").cast("string").alias("source"), F.col("b").cast("string").alias("target"), "a_test", "b_test")
     imports = named.select("source", "target", F.lit("IMPORTS").alias("kind"))

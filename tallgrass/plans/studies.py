@@ -159,7 +159,7 @@ def locator_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
     ranked = candidates.withColumn("place", place).where("place <= 20")
     role = F.when(F.col("place") <= 5, "PRIMARY").otherwise("RELATED")
-    selected = ranked.select("query_id", "path", "place", "score", role.alias("role"), (F.col("p_size") % 7 == 0).alias("is_test"))
+    selected = stored(ranked.select("query_id", "path", "place", "score", role.alias("role"), (F.col("p_size") % 7 == 0).alias("is_test")))
     useful = parts.select(F.col("p_type").alias("query_id")).distinct().withColumn("term", F.explode(text.terms("query_id")))
     symbol_files = parts.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n_files"))
     named = files.select("path", "file")

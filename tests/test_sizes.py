@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tallgrass import plans
-from tallgrass.operators import graph, storage
+from tallgrass.operators import diagnostics, graph, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the provided tables")
-@pytest.mark.parametrize("name", ["read_coverage", "full_file_promotion"])
+@pytest.mark.parametrize("name", ["read_coverage", "full_file_promotion", "affinity_expansion"])
 def test_ranges_are_dealt_by_their_keys_to_a_number_that_adaptive_execution_keeps(spark, name):
     assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES[name](spark, SF))
 
@@ -38,3 +38,18 @@ def test_imports_are_resolved_once_and_never_broadcast(spark):
     assert sorted(map(tuple, edges.collect())) == sorted(expected)
     first = plan_of(edges).split("Scan ExistingRDD[source")[0]
     assert "SortMergeJoin" in first and "BuildLeft" not in first
+
+
+def test_clusters_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    selected = spark.createDataFrame([("q", p) for p in "abcd"], "query_id string, path string")
+    rows = [("a", "b", "IMPORTS"), ("a", "b", "IMPORTS"), ("b", "a", "TESTS"), ("c", "x", "IMPORTS"), ("c", "c", "IMPORTS"), ("b", "d", "OTHER")]
+    edges = spark.createDataFrame(rows, schema := "source string, target string, kind string").mapInArrow(count, schema)
+    found = diagnostics.cluster_spread(selected, edges).collect()
+    assert [tuple(r) for r in found] == [("q", 3, 0.5)] and read.value == len(rows)
