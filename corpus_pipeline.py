@@ -19,8 +19,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id stays."""
-    return simhash.representatives(docs)
+    """Of each component of SimHash fingerprints, linked by op6's method, the row with the smallest doc_id stays."""
+    return simhash.kept(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

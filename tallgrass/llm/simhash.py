@@ -219,9 +219,26 @@ def _nodes(printed: DataFrame) -> DataFrame:
 
 
 def components(printed: DataFrame) -> DataFrame:
-    """Rows (fp, component_id) for the fingerprints in printed (doc_id, fp, wide), linked at MAX_BITS or fewer."""
+    """Rows (fp, component_id, root) for the fingerprints in printed (doc_id, fp, wide), linked at MAX_BITS or fewer.
+
+    root is a fingerprint of the component, the same for all of them.
+    """
     nodes = _nodes(printed)
-    return rooted(nodes, links(nodes), "fp").select("fp", "component_id")
+    return rooted(nodes, links(nodes), "fp").select("fp", "component_id", "root")
+
+
+def kept(docs: DataFrame, width: int = 4) -> DataFrame:
+    """The rows of docs that stay: of each component of fingerprints one row with its smallest doc_id.
+
+    Fingerprints of 64 bits meet under deletion-variant keys, are verified on all bits and link at
+    MAX_BITS or fewer. A null or wordless text has fingerprint zero, which links like any other; of a component
+    without any doc_id one row stays. Columns of docs may have any names. An empty table gives no rows.
+    """
+    rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("text"))
+    printed = common.stored(fingerprints(rows, width, "__row"))
+    found = components(printed.select("__row.doc_id", "fp", "wide"))
+    least = F.col("__row.doc_id").eqNullSafe(F.col("component_id"))
+    return printed.select("__row", "fp").join(found, "fp").where(least).dropDuplicates(["root"]).select("__row.*")
 
 
 def bands(n: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tallgrass.llm import common, sentencepiece_codec
+from tallgrass.llm import common, sentencepiece_codec, simhash
 from tests.llm.helpers import HARD, documents, sentences
 
 
@@ -39,3 +39,37 @@ def test_stages_stand_empty_tables(spark):
     empty = documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_near_copies_are_those_whose_fingerprints_op6_links(spark):
+    base = sentences(90, 400).split()
+    rows = [*HARD, *((5000 + i, sentences(100 + i, 60)) for i in range(20))]
+    rows += [(6000 - i, " ".join(base[: 20 * i] + ["changed"] + base[20 * i + 1 :])) for i in range(20)]
+    docs = documents(spark, rows, "fp root wide component_id __row")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    printed = common.cut_lineage(simhash.fingerprints(docs.select("doc_id", "text"), 4))
+    prints = {r.fp % 2**64 for r in printed.collect()}
+    roots = {x: x for x in prints}
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if (a ^ b).bit_count() <= simhash.MAX_BITS and roots[a] != roots[b]:
+                old, new = max(roots[a], roots[b]), min(roots[a], roots[b])
+                roots = {x: new if r == old else r for x, r in roots.items()}
+    least: dict = {}
+    for r in printed.collect():
+        least.setdefault(roots[r.fp % 2**64], []).append(r.doc_id)
+    expected = [min((i for i in ids if i is not None), default=None) for ids in least.values()]
+    key = lambda i: -1 if i is None else i
+    assert sorted((r.doc_id for r in left.collect()), key=key) == sorted(expected, key=key)
+    assert len(expected) < len(prints)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_template_of_near_copies_makes_no_more_links_than_keys(spark):
+    base = sentences(91, 60).split()
+    rows = [(i, " ".join([*base[:30], f"w{i}", *base[31:]])) for i in range(600)]
+    nodes = simhash._nodes(simhash.fingerprints(documents(spark, rows), 4))
+    n, made = nodes.count(), simhash.links(nodes).count()
+    keys = simhash.signature_keys(nodes).count()
+    assert made < keys and made <= 20 * n, (n, made)
