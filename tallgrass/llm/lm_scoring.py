@@ -11,7 +11,8 @@ corrects the prediction and is moved as well. The sum of the logarithms over all
 probability of the text.
 
 Bits are counted in all training texts, in tables of bounded size that are added up on the executors;
-the weights and the refining table that a text starts from are learned online by the tasks that count.
+the weights and the refining table that a text starts from are learned online, from every training text,
+by the tasks that count.
 A text runs in segments of SEGMENT bits that each start from what was learned; all segments of a
 slice run side by side, so each step is an operation on arrays, and a text's score depends on
 nothing but the text and the model.
@@ -47,9 +48,8 @@ HASHED_BYTES = 1 << 17
 TABLE_BITS, LEAST_TABLE_BITS = 22, 16
 #: Training bytes for each task that counts bits; no more tasks than LEAST_TASKS or an eighth of the shuffle partitions.
 TASK_BYTES, LEAST_TASKS = 8 << 20, 12
-#: A task learns weights from its first LEARN_BYTES and from one in so many of its other texts; bits are counted in all of them.
-LEARN_EVERY = 48
-LEARN_BYTES, LEARN_BITS = 1 << 20, 1 << 12
+#: Weights are learned from all training texts, so many bits at a time; a task's first group has FIRST_BYTES, later ones up to HASHED_BYTES.
+FIRST_BYTES, LEARN_BITS = 1 << 15, 1 << 12
 #: Contexts: so many bytes before, then the word so far, alone, with the last short word, and with the word before it.
 ORDERS = (3, 5)
 CONTEXTS = len(ORDERS) + 3
@@ -207,7 +207,7 @@ class Bits:
         return slots
 
 
-def in_groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+def in_groups(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
     """texts in order, in groups of at least size bytes but for the last."""
     group, held = [], 0
     for text in texts:
@@ -334,26 +334,24 @@ class Learner:
         self.weights = np.full((CONTEXTS, GATES), 0.35)
         self.steps = np.zeros((STEPS, 2))
         self.learned = self.counted = 0
-        self.drawn: list[bytes] = []
-        self.wait, self.seen, self.read = LEARN_BYTES >> 5, 0, 0
+        self.held: list[bytes] = []
+        self.wait, self.size = FIRST_BYTES, 0
 
     def add(self, texts: list[bytes]) -> None:
-        """Counts coded texts; from time to time those drawn since the last time are predicted by the counts before them."""
-        for group in in_groups(texts, min(HASHED_BYTES, self.wait)):
-            for text in group:
-                if self.read < LEARN_BYTES or self.seen % LEARN_EVERY == 0:
-                    self.drawn.append(text)
-                self.seen += 1
-                self.read += len(text)
-            waiting = {id(t) for t in self.drawn}
-            self._count([t for t in group if id(t) not in waiting])
-            if sum(map(len, self.drawn)) >= self.wait:
-                self._predict()
-                self.wait = min(2 * self.wait, LEARN_BYTES)
+        """Every group of coded texts is predicted by the counts of those before it, which moves the weights, and then counted."""
+        self.held += texts
+        self.size += sum(map(len, texts))
+        if self.size >= self.wait:
+            self.close()
 
     def close(self) -> None:
-        if self.drawn:
-            self._predict()
+        """Takes what is still held back."""
+        rest, self.held, self.size = iter(self.held), [], 0
+        while group := next(in_groups(rest, self.wait), None):
+            bits = Bits.of(group, self.code, self.table_bits)
+            self._learn(bits)
+            self._count_bits(bits)
+            self.wait = min(2 * self.wait, HASHED_BYTES)
 
     def handed_on(self) -> list[np.ndarray]:
         """The counts so far; those that follow begin at zero."""
@@ -362,24 +360,17 @@ class Learner:
 
     def _count(self, texts: list[bytes]) -> None:
         if texts:
-            bits = Bits.of(texts, self.code, self.table_bits)
-            self.counted += len(bits.value)
-            for k, table in enumerate(self.counts):
-                at = bits.at(k)
-                at *= np.int32(2)
-                at += bits.value
-                np.add.at(table.reshape(-1), at, np.uint32(1))
-
-    def _predict(self) -> None:
-        """Learns weights from the drawn texts, group by group, all of them by the counts before; then counts them."""
-        for group in in_groups(self.drawn, HASHED_BYTES):
-            self._learn(group)
-        for group in in_groups(self.drawn, HASHED_BYTES):
-            self._count(group)
-        self.drawn = []
-
-    def _learn(self, texts: list[bytes]) -> None:
-        bits = Bits.of(texts, self.code, self.table_bits)
+            self._count_bits(Bits.of(texts, self.code, self.table_bits))
+
+    def _count_bits(self, bits: Bits) -> None:
+        self.counted += len(bits.value)
+        for k, table in enumerate(self.counts):
+            at = bits.at(k)
+            at *= np.int32(2)
+            at += bits.value
+            np.add.at(table.reshape(-1), at, np.uint32(1))
+
+    def _learn(self, bits: Bits) -> None:
         odds = [stored_odds(self.counts[k][bits.at(k)]) for k in range(CONTEXTS)]
         gates = gate_of(odds)
         for begin in range(0, len(gates), LEARN_BITS):

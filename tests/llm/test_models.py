@@ -331,6 +331,19 @@ def test_held_out_documents_are_better_mixed_than_counted(monkeypatch):
     assert mixed > 0.99 * frozen and frozen > even and mixed > 0.8 * bits, (mixed, frozen, even, bits, base)
 
 
+def test_weights_are_learned_from_every_bit_of_every_text(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HASHED_BYTES", 5000)
+    model, coded, learner = small_model([sentences(i, 40) for i in range(400)])
+    many = lm_scoring.Learner(learner.code, 16)
+    for start in range(0, len(coded), 7):  # far more than a task's first texts
+        for _ in range(25):
+            many.add(coded[start : start + 7])
+    many.close()
+    bits = len(lm_scoring.Bits.of(coded, model.code, 16).value)
+    assert learner.learned == learner.counted == learner.steps.sum() == bits
+    assert many.learned == many.counted == 25 * bits
+
+
 def test_bit_counts_are_not_cut_at_16_bits():
     text = lm_scoring.coded([b"aaaaaaaa"] * 20_000)
     learner = lm_scoring.Learner(lm_scoring.Code.of(lm_scoring.pairs_in(np.frombuffer(text, np.uint8))), 16)
