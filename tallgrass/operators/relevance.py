@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .storage import stored
+from .storage import spread, stored
 
 # Weight of each kind of match, in the order in which equal weights win.
 WEIGHTS = {
@@ -51,6 +51,11 @@ def _term_key() -> Column:
     return F.concat(F.lit("term:"), F.col("term"))
 
 
+def exploded(texts: DataFrame, column: str | Column, name: str, *kept: str) -> DataFrame:
+    """The kept columns with each term of a text. Outer, as Spark otherwise cuts every text twice: once to see if it has any."""
+    return texts.select(*kept, F.explode_outer(T.terms(column)).alias(name)).where(F.col(name).isNotNull())
+
+
 def families(useful: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (query_id, term, df, path, word) of one lexical family; joined on the six letters they share."""
     a = useful.where(F.length("term") >= 6).withColumn("head", F.substring("term", 1, 6))
@@ -79,8 +84,8 @@ def direct_signals(queries: DataFrame, files: DataFrame, symbols: DataFrame, imp
     out.append(_signals(explicit, "explicit_path", F.concat(F.lit("path:"), "path"), term=None))
     traced = queries.select("query_id", words(F.col("error_text")).alias("path")).distinct().join(files.select("path"), "path")
     out.append(_signals(traced, "trace_path", F.concat(F.lit("trace:"), "path"), term=None))
-    in_name = files.select("path", F.explode(T.terms(T.stem("path"))).alias("term"))
-    in_path = files.select("path", F.explode(T.terms("path")).alias("term")).join(in_name, ["path", "term"], "left_anti")
+    in_name = exploded(files, T.stem("path"), "term", "path")
+    in_path = exploded(files, "path", "term", "path").join(in_name, ["path", "term"], "left_anti")
     out.append(_signals(useful.join(in_name, "term"), "filename_term", _term_key()))
     out.append(_signals(useful.join(in_path, "term"), "path_term", _term_key()))
     everything = F.concat_ws(" ", "task", "error_text")
@@ -88,9 +93,9 @@ def direct_signals(queries: DataFrame, files: DataFrame, symbols: DataFrame, imp
     either = symbols.select("path", "qualified_name", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("identifier"))
     exact = asked.join(either, "identifier").select("query_id", "path", "qualified_name").distinct()
     out.append(_signals(exact, "exact_symbol", F.concat(F.lit("symbol:"), "qualified_name"), term=None))
-    in_symbol = symbols.select("path", F.explode(T.terms("name")).alias("term")).distinct()
+    in_symbol = exploded(symbols, "name", "term", "path").distinct()
     out.append(_signals(useful.join(in_symbol, "term"), "symbol_term", _term_key()))
-    in_import = imports.select("path", F.explode(T.terms(F.concat_ws(".", "module", "name"))).alias("term")).distinct()
+    in_import = exploded(imports, F.concat_ws(".", "module", "name"), "term", "path").distinct()
     unnamed = in_import.join(in_name, ["path", "term"], "left_anti")
     out.append(_signals(useful.join(unnamed, "term"), "import_term", _term_key()))
     file_words = in_name.select("path", F.col("term").alias("word"), F.lit(True).alias("of_name"))
@@ -134,17 +139,23 @@ def source_signals(found: DataFrame, files: DataFrame, useful: DataFrame, max_by
 
     Files over max_bytes are not looked into if it is given.
     """
-    candidates = found.select("query_id", "path").distinct()
     readable = files.where(~T.language("path").isin("Markdown", "Other"))
     if max_bytes is not None:
         readable = readable.where(F.octet_length("text") <= max_bytes)
-    words = readable.join(candidates.select("path").distinct(), "path", "left_semi").select("path", F.explode(T.terms("text")).alias("word"))
-    wanted = useful.where(F.length("term") >= 6)
-    exact = wanted.join(words.withColumnRenamed("word", "term"), "term").select("query_id", "path", "term", "df", F.lit(True).alias("exact"))
-    family = families(wanted, words).select("query_id", "path", "term", "df", F.lit(False).alias("exact"))
-    hits = exact.union(family).groupBy("query_id", "path", "term", "df").agg(F.bool_or("exact").alias("exact"))
-    taken = found.where(F.col("key").startswith("term:")).select("query_id", "path", F.substring("key", 6, 1 << 20).alias("term"))
-    hits = hits.join(candidates, ["query_id", "path"], "left_semi").join(taken, ["query_id", "path", "term"], "left_anti")
+    wanted = useful.where(F.length("term") >= 6).select("query_id", "term", "df")
+    # All that concerns a file meets in one task, however large the tree: its text, which queries found it and by which terms.
+    n_found = found.count()
+    term = F.when(F.col("key").startswith("term:"), F.struct("query_id", F.substring("key", 6, 1 << 20).alias("term")))
+    candidates = spread(found.select("query_id", "path", term.alias("term")), n_found, "path").groupBy("path").agg(
+        F.collect_set("query_id").alias("queries"), F.collect_set("term").alias("taken")
+    )
+    texts = candidates.join(spread(readable.select("path", "text"), n_found, "path"), "path")
+    words = exploded(texts, "text", "word", "path", "queries", "taken").where(F.length("word") >= 6)
+    # Equal words and families share six letters, so a text is cut once for both.
+    wanted = wanted.withColumn("head", F.substring("term", 1, 6))
+    hits = words.withColumn("head", F.substring("word", 1, 6)).join(wanted, "head").where(F.array_contains("queries", F.col("query_id")))
+    hits = hits.where((F.col("term") == F.col("word")) | T.is_family("term", "word")).where(~F.array_contains("taken", F.struct("query_id", "term")))
+    hits = hits.groupBy("query_id", "path", "term", "df").agg(F.bool_or(F.col("term") == F.col("word")).alias("exact"))
     order = Window.partitionBy("query_id", "path").orderBy("df", F.length("term").desc(), "term")
     best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SOURCE_HITS)
     rare = F.col("df") <= 2
@@ -171,16 +182,16 @@ def rank(
     queries have query_id, task, error_text, paths, symbols and changed; files path, text and is_test.
     """
     asked = queries.select("query_id", F.explode(T.terms(F.concat_ws(" ", "task", "error_text"))).alias("term"))
-    in_path = files.select("path", F.explode(T.terms("path")).alias("term"))
-    in_symbol = symbols.select("path", F.explode(T.terms("name")).alias("term"))
+    in_path = exploded(files, "path", "term", "path")
+    in_symbol = exploded(symbols, "name", "term", "path")
     # Each of these is read several times below, so it is made once.
     useful = stored(useful_terms(asked, document_frequency(in_path.union(in_symbol).distinct()), files.count()))
     direct = stored(direct_signals(queries, files, symbols, imports, useful))
     found = stored(strongest(direct.unionByName(graph_signals(direct, edges, files))))
-    found = found.unionByName(source_signals(found, files, useful))
     changed = queries.select("query_id", F.explode("changed").alias("path")).select("query_id", T.normalised_path("path").alias("path"))
+    # Sources add no file, so what they add is not asked for here; it is made once.
     touched = found.select("query_id", "path").distinct().join(changed.distinct(), ["query_id", "path"])
-    found = found.unionByName(_signals(touched, "changed_relevant", F.lit("changed"), term=None))
+    found = found.unionByName(source_signals(found, files, useful)).unionByName(_signals(touched, "changed_relevant", F.lit("changed"), term=None))
     primary = direct.select("query_id", "path").distinct().withColumn("role", F.lit("PRIMARY"))
     return top_k(found, k).join(primary, ["query_id", "path"], "left").withColumn("role", F.coalesce("role", F.lit("RELATED")))
 

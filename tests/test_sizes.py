@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tallgrass import plans
-from tallgrass.operators import diagnostics, graph, storage
+from tallgrass.operators import diagnostics, graph, relevance, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,29 @@ def test_clusters_read_their_edges_once(spark):
     edges = spark.createDataFrame(rows, schema := "source string, target string, kind string").mapInArrow(count, schema)
     found = diagnostics.cluster_spread(selected, edges).collect()
     assert [tuple(r) for r in found] == [("q", 3, 0.5)] and read.value == len(rows)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_are_cut_once(spark):
+    texts = [("a.py", "bandits banditry other kestrel"), ("b.py", "banditry"), ("c.md", "bandits"), ("d.py", "bandits")]
+    files = spark.createDataFrame(texts, "path string, text string")
+    useful = spark.createDataFrame([("q", "bandits", 1), ("q", "kestrel", 1), ("q", "other", 1), ("r", "bandits", 9)], "query_id string, term string, df long")
+    found = spark.createDataFrame(
+        [("q", "a.py", "term:kestrel"), ("q", "a.py", "graph:import"), ("q", "b.py", "graph:import"), ("q", "c.md", "path:c.md"), ("r", "a.py", "x")],
+        "query_id string, path string, key string",
+    )
+    signals = relevance.source_signals(found, files, useful)
+    assert sorted((r.query_id, r.path, r.kind, r.key, r.weight) for r in signals.collect()) == [
+        ("q", "a.py", "source_term", "term:bandits", relevance.RARE_SOURCE),
+        ("q", "b.py", "family_term", "term:bandits", relevance.RARE_SOURCE_FAMILY),
+        ("r", "a.py", "source_term", "term:bandits", relevance.WEIGHTS["source_term"]),
+    ]
+    assert optimized(signals).count("regexp_replace(regexp_replace(text") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the provided tables")
+def test_a_ranking_cuts_its_sources_once(spark):
+    assert optimized(plans.QUERIES["full_ranking"](spark, SF)).count("regexp_replace(regexp_replace(text") == 1
