@@ -37,9 +37,11 @@ def proposals(ranked: DataFrame, symbols: DataFrame, files: DataFrame, context:
 
 def excerpts(ranges: DataFrame, files: DataFrame) -> DataFrame:
     """Ranges with the text of their lines, secrets replaced, and its token estimate."""
-    lines = files.where("text is not null").select("path", T.split_lines("text").alias("lines"))
+    texts = files.where("text is not null").select("path", "text")
+    # Lines are cut after the join: of the files with ranges only.
+    lines = ranges.join(texts, "path").withColumn("lines", T.split_lines("text"))
     body = F.array_join(F.slice("lines", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")), "\n")
-    cut = ranges.join(lines, "path").withColumn("excerpt", T.redacted(body)).drop("lines")
+    cut = lines.withColumn("excerpt", T.redacted(body)).drop("lines", "text")
     return cut.withColumn("tokens", T.token_estimate("excerpt"))
 
 
@@ -68,7 +70,8 @@ def pack(
         proposed = proposed.unionByName(inside)
     merged = intervals.merge(proposed, KEYS, gap, any_of=["must"])
     whole = proposed.select(*KEYS).distinct().join(lengths, "path")
-    chosen = excerpts(intervals.promoted(merged, whole, KEYS, any_of=["must"]), files)
+    # Stored, so that Spark knows how few they are and texts need not be shuffled to meet them.
+    chosen = excerpts(stored(intervals.promoted(merged, whole, KEYS, any_of=["must"])), files)
     named = F.exists("signals", lambda s: s["kind"].isin("explicit_path", "trace_path"))
     about = ranked.select(*KEYS, "score", "role", "signals", named.alias("named"))
     priced = chosen.join(about, KEYS, "left").withColumn("required", F.col("must") | F.coalesce("named", F.lit(False)))

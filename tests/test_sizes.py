@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tallgrass import plans
-from tallgrass.operators import diagnostics, graph, relevance, storage
+from tallgrass.operators import diagnostics, graph, packing, relevance, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,12 @@ def test_sources_are_cut_once(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the provided tables")
 def test_a_ranking_cuts_its_sources_once(spark):
     assert optimized(plans.QUERIES["full_ranking"](spark, SF)).count("regexp_replace(regexp_replace(text") == 1
+
+
+def test_lines_are_cut_of_files_with_ranges_only(spark):
+    files = spark.createDataFrame([("a", "1\n2\n3"), ("b", None), ("c", "x")], "path string, text string")
+    ranges = spark.createDataFrame([("q", "a", 2, 3), ("q", "b", 1, 1)], "query_id string, path string, start long, end long")
+    cut = packing.excerpts(ranges, files)
+    assert [(r.path, r.excerpt, r.tokens) for r in cut.collect()] == [("a", "2\n3", 1)]
+    plan = optimized(cut)
+    assert plan.index("split(text") < plan.index("Join")
