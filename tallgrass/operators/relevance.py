@@ -198,13 +198,15 @@ def rank(
 
 def passage_top_k(passages: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:
     """The k texts (doc_id, text) that share most with each passage (item_id, text): 12 for a rare term, 5 for another useful one."""
-    words = texts.select("doc_id", F.explode(T.terms("text")).alias("term"))
+    words = exploded(texts, "text", "term", "doc_id")
     asked = passages.select("item_id", F.explode(T.terms("text")).alias("term"))
     # Only terms that are asked for are counted and joined; they are kept, as texts are read and cut once.
     wanted = stored(words.join(asked.select("term").distinct(), "term", "left_semi"))
     frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    useful = useful_terms(asked, frequency, texts.count())
+    # Stored, so that Spark knows how few they are: what a text shares is added up where its terms are, and each task hands on its k best.
+    useful = stored(useful_terms(asked, frequency, texts.count()))
     weight = F.when(F.col("df") <= 2, 12).otherwise(5)
-    scored = useful.join(wanted, "term").groupBy("item_id", "doc_id").agg(F.sum(weight).cast("long").alias("score"))
+    near = spread(wanted, wanted.count(), "doc_id")
+    scored = near.join(useful, "term").groupBy("doc_id", "item_id").agg(F.sum(weight).cast("long").alias("score")).select("item_id", "doc_id", "score")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -88,3 +88,12 @@ def test_lines_are_cut_of_files_with_ranges_only(spark):
     assert [(r.path, r.excerpt, r.tokens) for r in cut.collect()] == [("a", "2\n3", 1)]
     plan = optimized(cut)
     assert plan.index("split(text") < plan.index("Join")
+
+
+def test_passages_and_texts_meet_where_the_texts_are(spark):
+    texts = spark.createDataFrame([(i, f"kestrel word{i % 7} other{i % 5}") for i in range(40)] + [(40, "kestrel rare"), (41, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "word3 other2 rare kestrel")], "item_id long, text string")
+    best = relevance.passage_top_k(passages, texts, 4)
+    assert sorted((r["rank"], r.doc_id, r.score) for r in best.collect()) == [(1, 40, 12), (2, 17, 10), (3, 2, 5), (4, 3, 5)]
+    plan = plan_of(best)
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(doc_id" in plan and "hashpartitioning(item_id" in plan
