@@ -170,16 +170,17 @@ def context_slots(data: np.ndarray, table_bits: int) -> list[np.ndarray]:
         key *= np.uint64(0x94D049BB133111EB)
         key ^= key >> np.uint64(29)
         key *= np.uint64(0x9E3779B97F4A7C15)
-        out.append((key >> np.uint64(64 - table_bits + HALVED[k - 1])).astype(np.int32))
+        key >>= np.uint64(64 - table_bits + HALVED[k - 1])
+        out.append(key.view(np.int64))
     return out
 
 
 @dataclass
 class Bits:
-    """The bits of some coded texts, one after the other: nodes, values, how many each byte has, and each byte's slots."""
+    """The bits of some coded texts, one after the other: the place of each bit's byte, its node, its value, how many a text has, and each place's slots."""
 
     slots: list[np.ndarray]
-    lengths: np.ndarray
+    place: np.ndarray
     node: np.ndarray
     value: np.ndarray
     sizes: np.ndarray
@@ -190,23 +191,29 @@ class Bits:
         data = np.frombuffer(b"".join([lead + t for t in texts]), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(sizes + _LEAD) - sizes
-        own = np.ones(len(data), bool)
-        own[(first[:, None] - np.arange(1, _LEAD + 1)).ravel()] = False
-        pair = data[own] + data[:-1][own[1:]].astype(np.int64) * 256
+        pair = data.astype(np.int64)
+        pair[1:] += pair[:-1] << 8
         lengths = code.lengths.take(pair)
+        lengths[(first[:, None] - np.arange(1, _LEAD + 1)).ravel()] = 0
         ends = np.cumsum(lengths)
-        step = np.repeat((code.offsets.take(pair) - ends + lengths), lengths)
+        place = np.repeat(np.arange(len(data)), lengths)
+        step = _taken(code.offsets.take(pair) - ends + lengths, place)
         step += np.arange(len(step))
-        in_text = np.diff(np.r_[0, ends[np.cumsum(sizes) - 1]])
-        return cls([s[own] for s in context_slots(data, table_bits)], lengths, code.nodes.take(step), code.bits.take(step), in_text)
+        in_text = np.diff(ends[first + sizes - 1], prepend=0)
+        return cls(context_slots(data, table_bits), place, _taken(code.nodes, step), _taken(code.bits, step), in_text)
 
     def at(self, k: int) -> np.ndarray:
         """The slot of each bit in the table of context k."""
-        slots = np.repeat(self.slots[k], self.lengths)
+        slots = _taken(self.slots[k], self.place)
         slots ^= self.node
         return slots
 
 
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at] for places that are known to be there."""
+    return values.take(at, mode="clip")
+
+
 def in_groups(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
     """texts in order, in groups of at least size bytes but for the last."""
     group, held = [], 0
@@ -220,12 +227,28 @@ def in_groups(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
         yield group
 
 
+def _log_odds(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of counts (..., bit), held within MOST."""
+    found = counts.astype(np.float32)
+    found += np.float32(PRIOR)
+    odds = found[..., 1] / found[..., 0]
+    np.log(odds, out=odds)
+    return np.minimum(np.maximum(odds, -MOST, out=odds), MOST, out=odds)
+
+
+def _often(counts: np.ndarray) -> np.ndarray:
+    """How many of the steps of SEEN the counts (..., bit) have reached; counts of 32 bits are of FULL bits at most."""
+    seen = counts[..., 0] + counts[..., 1]
+    often = (seen >= SEEN[0]).astype(np.int8)
+    for n in SEEN[1:]:
+        often += seen >= n
+    return often
+
+
 def stored_odds(counts: np.ndarray) -> np.ndarray:
     """Log-odds of counts (..., bit) as whole numbers of 1 / SCALE, with how often they were seen in the last two bits."""
-    seen = counts.sum(axis=-1, dtype=np.int64)
-    odds = np.log((counts[..., 1] + np.float32(PRIOR)) / (counts[..., 0] + np.float32(PRIOR)))
-    whole = np.rint(np.clip(odds, -MOST, MOST) * (SCALE / 4)).astype(np.int16) * np.int16(4)
-    return whole + sum((seen >= n).astype(np.int16) for n in SEEN)
+    whole = np.rint(_log_odds(counts) * np.float32(SCALE / 4)).astype(np.int16)
+    return whole * np.int16(4) + _often(counts)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -247,13 +270,13 @@ class Lanes:
         self.starts = ((np.cumsum(sizes) - sizes)[text] + nth * SEGMENT)[order]
 
     def blocks(self) -> Iterator[tuple[np.ndarray, list[int]]]:
-        """Bits (lane, step) of BLOCK steps at a time, and how many lanes each step has; a lane's last bit fills up its row."""
+        """Bits (step, lane) of BLOCK steps at a time, and how many lanes each step has; a lane's last bit fills up its column."""
         most = int(self.lengths[0]) if len(self.lengths) else 0
         for begin in range(0, most, BLOCK):
             steps = np.arange(begin, min(begin + BLOCK, most))
             active = np.searchsorted(-self.lengths, -steps, side="left").tolist()
             lanes = slice(0, active[0])
-            yield self.starts[lanes, None] + np.minimum(steps, self.lengths[lanes, None] - 1), active
+            yield self.starts[lanes] + np.minimum(steps[:, None], self.lengths[lanes] - 1), active
 
 
 @dataclass
@@ -277,36 +300,50 @@ class Model:
         logs = np.zeros(len(lanes.starts))
         shift = np.zeros((CONTEXTS, len(logs)), np.float32)
         refined, row = np.tile(self.refined, len(logs)), np.arange(len(logs)) * STEPS
+        products, errors, steps = np.empty_like(shift), np.empty(len(logs), np.float32), np.empty(len(logs), np.int64)
         for at, active in lanes.blocks():
-            inputs = side_by_side(odds, at)
-            given, bits = mixed.take(at).T.copy(), value.take(at).T.astype(np.float32, "C")
+            inputs, given = side_by_side(odds, at), _taken(mixed, at)
+            bits = _taken(value, at).astype(np.float32)
             # The chance of a set bit; a step that a lane lacks counts as certain.
             mixed_chance, refined_chance = bits.copy(), bits.copy()
             for t, n in enumerate(active):
-                x, bit, z, own = inputs[:, t, :n], bits[t, :n], given[t, :n], shift[:, :n]
-                z += np.einsum("kn,kn->n", own, x)
-                np.clip(z, -MOST, MOST, out=z)
-                p = _sigmoid(z)
-                z += MOST + STEP / 2
+                x, bit, z, own, moved = inputs[t, :, :n], bits[t, :n], given[t, :n], shift[:, :n], products[:, :n]
+                p, r, e, step = mixed_chance[t, :n], refined_chance[t, :n], errors[:n], steps[:n]
+                np.multiply(own, x, out=moved)
+                z += np.add.reduce(moved, axis=0, out=e)
+                np.minimum(np.maximum(z, -MOST, out=z), MOST, out=z)
+                np.exp(np.negative(z, out=p), out=p)
+                p += 1
+                np.reciprocal(p, out=p)
                 z *= 1 / STEP
-                step = z.astype(np.int64)
+                z += MOST / STEP + 0.5
+                np.floor(z, out=step, casting="unsafe")
                 step += row[:n]
-                r = refined.take(step)
-                own += x * ((bit - p) * RATE)
-                refined[step] = r + (bit - r) * REFINE_RATE
-                mixed_chance[t, :n], refined_chance[t, :n] = p, r
-            hit = np.abs((mixed_chance + refined_chance) * np.float32(0.5) + bits - 1)
-            logs[: active[0]] += np.log(hit).sum(axis=0, dtype=np.float64)
+                refined.take(step, out=r, mode="clip")
+                np.subtract(bit, p, out=e)
+                e *= RATE
+                own += np.multiply(x, e, out=moved)
+                np.subtract(bit, r, out=e)
+                e *= REFINE_RATE
+                e += r
+                refined[step] = e
+            hit = mixed_chance
+            hit += refined_chance
+            hit *= np.float32(0.5)
+            hit += bits
+            hit -= 1
+            np.log(np.abs(hit, out=hit), out=hit)
+            logs[: active[0]] += hit.sum(axis=0, dtype=np.float64)
         return np.bincount(lanes.text, logs, len(sizes)) / _LN10
 
     def _inputs(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Of every bit the stored log-odds, one array a context, their sum by the gate's weights, and its value; bits a text."""
         bits = Bits.of(texts, self.code, len(self.odds[-1]).bit_length() - 1)
-        odds = [self.odds[k].take(bits.at(k)) for k in range(CONTEXTS)]
+        odds = [_taken(self.odds[k], bits.at(k)) for k in range(CONTEXTS)]
         gate = gate_of(odds)
         mixed = np.zeros(len(gate), np.float32)
         for k in range(CONTEXTS):
-            part = self.weights[k].take(gate)
+            part = _taken(self.weights[k], gate)
             part *= odds[k]
             mixed += part
         mixed *= np.float32(1 / SCALE)
@@ -318,10 +355,10 @@ def gate_of(odds: list[np.ndarray]) -> np.ndarray:
 
 
 def side_by_side(odds: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Log-odds (context, step, lane) of the bits at (lane, step)."""
-    out = np.empty((CONTEXTS, at.shape[1], at.shape[0]), np.float32)
+    """Log-odds (step, context, lane) of the bits at (step, lane)."""
+    out = np.empty((at.shape[0], CONTEXTS, at.shape[1]), np.float32)
     for k in range(CONTEXTS):
-        np.multiply(odds[k].take(at).T, np.float32(1 / SCALE), out=out[k])
+        np.multiply(_taken(odds[k], at), np.float32(1 / SCALE), out=out[:, k])
     return out
 
 
@@ -349,8 +386,7 @@ class Learner:
         rest, self.held, self.size = iter(self.held), [], 0
         while group := next(in_groups(rest, self.wait), None):
             bits = Bits.of(group, self.code, self.table_bits)
-            self._learn(bits)
-            self._count_bits(bits)
+            self._learn(bits, *self._count_bits(bits))
             self.wait = min(2 * self.wait, HASHED_BYTES)
 
     def handed_on(self) -> list[np.ndarray]:
@@ -362,28 +398,41 @@ class Learner:
         if texts:
             self._count_bits(Bits.of(texts, self.code, self.table_bits))
 
-    def _count_bits(self, bits: Bits) -> None:
+    def _count_bits(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Counts the bits; returns the log-odds (context, bit) and the gates that the counts before them gave."""
         self.counted += len(bits.value)
+        odds, gates = np.empty((CONTEXTS, len(bits.value)), np.float32), np.zeros(len(bits.value), np.int64)
         for k, table in enumerate(self.counts):
             at = bits.at(k)
-            at *= np.int32(2)
+            # Both counts of a slot are read as one number; its line is then at hand for the counting.
+            before = _taken(table.view(np.uint64).reshape(-1), at).view(np.uint32).reshape(-1, 2)
+            at *= 2
             at += bits.value
             np.add.at(table.reshape(-1), at, np.uint32(1))
-
-    def _learn(self, bits: Bits) -> None:
-        odds = [stored_odds(self.counts[k][bits.at(k)]) for k in range(CONTEXTS)]
-        gates = gate_of(odds)
+            odds[k] = _log_odds(before)
+            if k >= CONTEXTS - 2:
+                gates *= 4
+                gates += _often(before)
+        return odds, gates
+
+    def _learn(self, bits: Bits, x: np.ndarray, gates: np.ndarray) -> None:
+        values = bits.value.astype(np.float32)
         for begin in range(0, len(gates), LEARN_BITS):
             part = slice(begin, begin + LEARN_BITS)
-            gate, bit = gates[part], bits.value[part]
-            x = np.stack([o[part] for o in odds]).astype(np.float32)
-            x *= np.float32(1 / SCALE)
-            z = np.clip(np.einsum("kn,kn->n", self.weights.take(gate, axis=1), x), -MOST, MOST)
-            self.steps += np.bincount(((z + MOST) / STEP + 0.5).astype(np.int64) * 2 + bit, minlength=2 * STEPS).reshape(STEPS, 2)
+            gate, bit, inputs = gates[part], values[part], x[:, part]
+            weights = self.weights.astype(np.float32).take(gate, axis=1, mode="clip")
+            z = np.einsum("kn,kn->n", weights, inputs)
+            np.minimum(np.maximum(z, -MOST, out=z), MOST, out=z)
             error = bit - _sigmoid(z)
+            z += np.float32(MOST + STEP / 2)
+            z *= np.float32(1 / STEP)
+            steps = z.astype(np.int64)
+            steps *= 2
+            steps += bits.value[part]
+            self.steps += np.bincount(steps, minlength=2 * STEPS).reshape(STEPS, 2)
             times = np.maximum(np.bincount(gate, minlength=GATES), LEARN_BITS // 64)
             for k in range(CONTEXTS):
-                self.weights[k] += LEARNING_RATE * np.bincount(gate, error * x[k], GATES) / times
+                self.weights[k] += LEARNING_RATE * np.bincount(gate, error * inputs[k], GATES) / times
             self.learned += len(z)
 
 

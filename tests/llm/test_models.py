@@ -4,7 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from math import exp, log10
+from math import exp, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -344,6 +344,55 @@ def test_weights_are_learned_from_every_bit_of_every_text(monkeypatch):
     assert many.learned == many.counted == 25 * bits
 
 
+def test_weights_equal_those_of_a_slow_learner(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARN_BITS", 500)
+    m, bits = lm_scoring, 16
+    coded = [m.coded(common.words_of(sentences(i, 25))) for i in range(12)]
+    learner = m.Learner(m.Code.of(m.pairs_in(np.frombuffer(b"".join(coded), np.uint8))), bits)
+    learner.wait = 600
+    learner.add(coded)
+    learner.close()
+    counts = [np.zeros_like(c) for c in learner.counts]
+    weights, steps = np.full((m.CONTEXTS, m.GATES), 0.35), np.zeros((m.STEPS, 2))
+    rest, wait = iter(coded), 600
+    while group := next(m.in_groups(rest, wait), None):
+        wait = min(2 * wait, m.HASHED_BYTES)
+        found = m.Bits.of(group, learner.code, bits)
+        slots, values = np.array([found.at(k) for k in range(m.CONTEXTS)]).T.tolist(), found.value.tolist()
+        for begin in range(0, len(values), 500):
+            moves, times = np.zeros_like(weights), np.zeros(m.GATES)
+            for at, bit in zip(slots[begin : begin + 500], values[begin : begin + 500], strict=True):
+                pairs = [counts[k][i].tolist() for k, i in enumerate(at)]
+                gate = 0
+                for pair in pairs[-2:]:
+                    gate = gate * 4 + sum(sum(pair) >= n for n in m.SEEN)
+                x = np.clip([log((b + m.PRIOR) / (a + m.PRIOR)) for a, b in pairs], -m.MOST, m.MOST)
+                z = min(max(weights[:, gate] @ x, -m.MOST), m.MOST)
+                steps[int((z + m.MOST) / m.STEP + 0.5), bit] += 1
+                moves[:, gate] += (bit - 1 / (1 + exp(-z))) * x
+                times[gate] += 1
+            weights += m.LEARNING_RATE * moves / np.maximum(times, 500 // 64)
+        for at, bit in zip(slots, values, strict=True):
+            for k, i in enumerate(at):
+                counts[k][i, bit] += 1
+    assert all((a == b).all() for a, b in zip(counts, learner.counts, strict=True)) and np.ptp(weights) > 0.001
+    assert learner.weights == pytest.approx(weights, abs=1e-4)
+    assert learner.steps.sum() == steps.sum() and np.abs(learner.steps - steps).sum() <= 4
+
+
+def test_learning_reads_the_slots_of_a_group_once(monkeypatch):
+    _, coded, learner = small_model([sentences(i, 40) for i in range(20)])
+    looked_up, at = [], lm_scoring.Bits.at
+    monkeypatch.setattr(lm_scoring.Bits, "at", lambda bits, k: looked_up.append(k) or at(bits, k))
+    monkeypatch.setattr(lm_scoring, "stored_odds", None)
+    before = learner.learned
+    learner.add(coded)
+    learner.close()
+    assert learner.learned == 2 * before
+    # One group: learning and counting share what is looked up.
+    assert looked_up == list(range(lm_scoring.CONTEXTS))
+
+
 def test_bit_counts_are_not_cut_at_16_bits():
     text = lm_scoring.coded([b"aaaaaaaa"] * 20_000)
     learner = lm_scoring.Learner(lm_scoring.Code.of(lm_scoring.pairs_in(np.frombuffer(text, np.uint8))), 16)
