@@ -293,7 +293,8 @@ class Model:
         parts = [self._inputs(group) for group in in_groups(texts, HASHED_BYTES)]
         if not parts:
             return np.zeros(0)
-        odds = [np.concatenate([p[0][k] for p in parts]) for k in range(CONTEXTS)]
+        # Each context's parts are dropped as soon as they are joined.
+        odds = [np.concatenate([p[0].pop(0) for p in parts]) for _ in range(CONTEXTS)]
         mixed, value, sizes = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         parts.clear()
         lanes = Lanes(sizes)
